@@ -1,0 +1,49 @@
+"""Tables written once and read many times.
+
+Multi-pass statistics should not derive their input again on every pass, and executors may be lost
+between passes. Staged data therefore goes to parquet in the shared folder that the cluster names in
+`spark.checkpoint.dir`; readers get column pruning and filter pushdown, and no lineage.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+_shared: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staging_root(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = tempfile.mkdtemp(prefix="orgpulse-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the staging folder and read it back."""
+    spark = df.sparkSession
+    path = f"{staging_root(spark)}/orgpulse/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The staged table `name` of `source`, built at most once per Spark application."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _shared:
+        _shared[key] = stage(build(), name)
+    return _shared[key]
+
+
+def forget(source: str | None = None) -> None:
+    """Drop the memory of staged tables, so that the next plan builds them again."""
+    for key in [k for k in _shared if source is None or k[1] == source]:
+        del _shared[key]
