@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orgpulse.config import ScoringConfig
 from orgpulse.operators import scoring
-from orgpulse.plans.staging import staged_once
+from orgpulse.staging import staged_once
 
 TABLES = ("customer", "orders", "lineitem", "nation", "region")
 
