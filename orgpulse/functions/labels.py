@@ -107,9 +107,13 @@ TEXT_REPLACEMENTS = {
 }
 
 
-def display_label(c: Column) -> Column:
-    pairs = [F.lit(x) for kv in DISPLAY_LABELS.items() for x in kv]
-    text = F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
+def _label_map() -> Column:
+    return F.create_map(*[F.lit(x) for kv in DISPLAY_LABELS.items() for x in kv])
+
+
+def display_label(c: Column, labels: Column | None = None) -> Column:
+    labels = _label_map() if labels is None else labels
+    text = F.coalesce(F.try_element_at(labels, c), c)
     for old, new in TEXT_REPLACEMENTS.items():
         text = F.replace(text, F.lit(old), F.lit(new))
     return F.when(c.isNotNull(), text)
@@ -119,5 +123,5 @@ def relabel(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Relabel the named columns, or every string column when none are named."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: display_label(F.col(c)) for c in present})
+    labels = _label_map()
+    return df.withColumns({c: display_label(F.col(c), labels) for c in columns if c in df.columns})

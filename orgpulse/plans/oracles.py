@@ -853,3 +853,72 @@ scored(
     " CASE WHEN org_id = (SELECT id FROM me) THEN 'Выбранная организация'"
     " WHEN org_id IN (SELECT nid FROM nn WHERE org_id = (SELECT id FROM me)) THEN 'Соседи' ELSE 'Прочие' END AS tag FROM cp",
 )
+
+# ---- scale profile ----------------------------------------------------------------------------
+
+_BINS = CONFIG.n_bins
+_pos = " + ".join(f"(ln(1 + {a}) - m{i}) / s{i} * g{i}" for i, a in enumerate(AXES))
+_edges = "lo + (hi - lo) * j / " + f"{_BINS}.0::DOUBLE"
+_short = "CASE WHEN abs(@) >= 1 THEN round_even(@, 3) ELSE round_even(@, CAST(2 - floor(log10(abs(@))) AS INTEGER)) END"
+# The leading eigenvalue of a 3x3 correlation matrix is 1 plus the largest root of
+# t^3 - (a^2 + b^2 + c^2) t - 2abc = 0; its eigenvector is a cross product of two rows.
+SCALE = (
+    TRIM
+    + f""", kept AS (SELECT enr.* FROM enr, q, lo WHERE NOT ({_outside}) AND is_report_filled),
+act AS (SELECT * FROM kept WHERE cash_receipts > 0 AND staff_avg > 0 AND fkhz_count > 0),
+st AS (SELECT {', '.join(f'avg(ln(1 + {a})) AS m{i}, stddev_samp(ln(1 + {a})) AS s{i}' for i, a in enumerate(AXES))},
+  corr(ln(1 + {AXES[0]}), ln(1 + {AXES[1]})) AS a, corr(ln(1 + {AXES[0]}), ln(1 + {AXES[2]})) AS b, corr(ln(1 + {AXES[1]}), ln(1 + {AXES[2]})) AS c FROM act),
+ev AS (SELECT *, 2 * sqrt((a*a + b*b + c*c) / 3) * cos(acos(a * b * c / pow((a*a + b*b + c*c) / 3, 1.5)) / 3) AS t FROM st),
+vc AS (SELECT *, a * c + t * b AS v0, a * b + t * c AS v1, t * t - a * a AS v2 FROM ev),
+ax AS (SELECT *, {', '.join(f'v{i} / sqrt(v0*v0 + v1*v1 + v2*v2) * sign(v0 + v1 + v2) AS g{i}' for i in range(3))} FROM vc),
+ps AS (SELECT kept.*, cash_receipts > 0 AND staff_avg > 0 AND fkhz_count > 0 AS active,
+  CASE WHEN cash_receipts > 0 AND staff_avg > 0 AND fkhz_count > 0 THEN {_pos} END AS signed_scale FROM kept, ax),
+rg AS (SELECT min(signed_scale) AS lo, max(signed_scale) AS hi, stddev_pop(signed_scale) AS sd FROM ps),
+ed AS (SELECT j, {_edges} - CASE WHEN j = 0 THEN (hi - lo) * 0.001 ELSE 0 END AS e FROM rg, range(0, {_BINS + 1}) t(j)),
+sh AS (SELECT j, e, {_short.replace('@', 'e')} AS shown FROM ed),
+bn AS (SELECT l.j AS b, l.shown AS signed_scale_left, u.shown AS signed_scale_right, 0.5 * (l.shown + u.shown) AS signed_scale_mid FROM sh l JOIN sh u ON u.j = l.j + 1),
+mb AS (SELECT ps.*, (SELECT count(*) FROM ed WHERE j BETWEEN 1 AND {_BINS - 1} AND ps.signed_scale > e) AS b FROM ps WHERE active),
+ix AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS bin_idx FROM (SELECT DISTINCT b FROM mb)),
+mem AS (SELECT mb.*, ix.bin_idx, bn.* EXCLUDE (b) FROM mb JOIN ix ON ix.b = mb.b JOIN bn ON bn.b = mb.b)
+"""
+)
+
+
+def _bin_table(median: str) -> str:
+    shares = ", ".join(f"round(avg(CAST(svk_form_level = {i} AS DOUBLE)), 4) AS form_share_{i}" for i in range(5))
+    short = (("cash", AXES[0]), ("staff", AXES[1]), ("fkhz", AXES[2]))
+    return (
+        "SELECT bin_idx, round(signed_scale_mid, 4) AS signed_scale_mid, round(signed_scale_left, 4) AS signed_scale_left, round(signed_scale_right, 4) AS signed_scale_right, "
+        + ", ".join(f"round(exp(avg(ln(1 + {a}))) - 1, 4) AS typical_{s}, min({a}) AS {s}_min, max({a}) AS {s}_max" for s, a in short)
+        + f", count(*) AS n, {median} AS form_median, quantile_cont(svk_form_level, 0.25) AS form_q25, quantile_cont(svk_form_level, 0.75) AS form_q75,"
+        f" count(*) < 10 AS low_n, {shares} FROM mem GROUP BY bin_idx, mem.signed_scale_mid, mem.signed_scale_left, mem.signed_scale_right"
+    )
+
+
+scored("scale_axis", SCALE + "SELECT org_id, active, round(signed_scale, 6) AS signed_scale FROM ps")
+scored("scale_bins", SCALE + _bin_table("round_even(median(svk_form_level), 0)"))
+scored("scale_bins_share", SCALE + _bin_table("median(svk_form_level)"))
+scored(
+    "bin_orgs",
+    SCALE
+    + "SELECT org_id, bin_idx, round(signed_scale_left, 4) AS signed_scale_left, round(signed_scale_right, 4) AS signed_scale_right,"
+    " round(signed_scale_mid, 4) AS signed_scale_mid, round(signed_scale, 4) AS signed_scale, org_name, cash_receipts, staff_avg, fkhz_count,"
+    " svk_form_level, svk_form_name, " + ", ".join(MEASURES) + " FROM mem",
+)
+scored(
+    "bin_forms",
+    SCALE
+    + f"SELECT *, {_rates} FROM (SELECT svk_form_name, count(*) AS orgs, {_sums} FROM mem WHERE bin_idx = (SELECT count(*) // 2 FROM ix) GROUP BY 1)",
+)
+scored(
+    "scale_peak",
+    SCALE
+    + f", tb AS ({_bin_table('round_even(median(svk_form_level), 0)').replace('round(signed_scale_mid, 4)', 'signed_scale_mid')})"
+    " SELECT bin_idx, n, form_median, typical_cash, typical_staff, typical_fkhz, round(signed_scale_mid, 4) AS signed_scale_mid,"
+    " round(signed_scale_mid / sd, 4) AS sigma FROM tb, rg ORDER BY n DESC, bin_idx LIMIT 1",
+)
+scored(
+    "scale_centre",
+    SCALE
+    + "SELECT " + ", ".join(f"round(exp(avg(ln(1 + {a}))) - 1, 4) AS typical_{s}" for s, a in (("cash", AXES[0]), ("staff", AXES[1]), ("fkhz", AXES[2]))) + " FROM act",
+)

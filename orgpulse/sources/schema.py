@@ -51,10 +51,15 @@ def _last(flags: Column) -> Column:
 def match_index(normal: Column, patterns: Sequence[str]) -> Column:
     """Index of the header a column resolves to: any exact equality first, then regex search;
     patterns in order, headers in order."""
-    exact = [_last(F.transform(normal, lambda h, p=p: h == p)) for p in patterns]
-    regex = [
-        _first(F.transform(normal, lambda h, p=p: h.rlike("(?iu)" + p))) for p in patterns
-    ]
+
+    def equal(p: str) -> Column:
+        return _last(F.transform(normal, lambda h: h == p))
+
+    def similar(p: str) -> Column:
+        return _first(F.transform(normal, lambda h: h.rlike("(?iu)" + p)))
+
+    exact = [equal(p) for p in patterns]
+    regex = [similar(p) for p in patterns]
     return F.coalesce(*exact, *regex)
 
 

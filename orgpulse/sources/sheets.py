@@ -49,9 +49,10 @@ def newest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str
 
 
 def latest_snapshot(rows: DataFrame, source: str = "source", modified: str = "modified") -> DataFrame:
-    """Rows of the most recently modified source, chosen by a scalar subquery (ties: first name)."""
-    newest = rows.agg(F.min_by(source, F.struct(-F.unix_micros(modified), F.col(source)))).scalar()
-    return rows.where(F.col(source) == newest)
+    """Rows of the most recently modified source (ties: first name), found by scalar subqueries."""
+    newest = rows.agg(F.max(modified)).scalar()
+    name = rows.where(F.col(modified) == newest).agg(F.min(source)).scalar()
+    return rows.where(F.col(source) == name)
 
 
 def marker_hits(cells: Column) -> Column:
