@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -108,7 +109,8 @@ TEXT_REPLACEMENTS = {
 
 
 def _label_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in DISPLAY_LABELS.items() for x in kv])
+    """The dictionary as one constant, folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(DISPLAY_LABELS, ensure_ascii=False)), "map<string,string>")
 
 
 def display_label(c: Column, labels: Column | None = None) -> Column:

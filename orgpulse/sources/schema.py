@@ -6,6 +6,7 @@ is joined to a pattern table and nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,39 +49,52 @@ def _last(flags: Column) -> Column:
     return F.size(flags) - back
 
 
-def match_index(normal: Column, patterns: Sequence[str]) -> Column:
+def _constants(columns: Sequence[ReportColumn]) -> Column:
+    """The column map as one constant array, folded by the optimizer."""
+    spec = [{"canonical": c.name, "label": c.label, "patterns": list(c.patterns)} for c in columns]
+    return F.from_json(
+        F.lit(json.dumps(spec, ensure_ascii=False)),
+        "array<struct<canonical:string,label:string,patterns:array<string>>>",
+    )
+
+
+def _match_index(normal: Column, patterns: Column) -> Column:
     """Index of the header a column resolves to: any exact equality first, then regex search;
     patterns in order, headers in order."""
 
-    def equal(p: str) -> Column:
+    def equal(p: Column) -> Column:
         return _last(F.transform(normal, lambda h: h == p))
 
-    def similar(p: str) -> Column:
-        return _first(F.transform(normal, lambda h: h.rlike("(?iu)" + p)))
+    def similar(p: Column) -> Column:
+        return _first(F.transform(normal, lambda h: F.rlike(h, F.concat(F.lit("(?iu)"), p))))
+
+    def first_hit(search) -> Column:
+        return F.get(F.filter(F.transform(patterns, search), lambda i: i.isNotNull()), F.lit(0))
 
-    exact = [equal(p) for p in patterns]
-    regex = [similar(p) for p in patterns]
-    return F.coalesce(*exact, *regex)
+    return F.coalesce(first_hit(equal), first_hit(similar))
 
 
 def resolve(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
-    """(source, positions): for every source the header index of each canonical column."""
+    """(source, raw, positions): for every source the header index of each canonical column."""
     prepared = headers.select("source", distinct_headers(F.col("headers")).alias("raw")).withColumn(
         "normal", F.transform("raw", normal_header)
     )
-    indexes = F.array(*[match_index(F.col("normal"), c.patterns).cast("int") for c in columns])
+    indexes = F.transform(_constants(columns), lambda c: _match_index(F.col("normal"), c["patterns"]).cast("int"))
     return prepared.select("source", "raw", indexes.alias("positions"))
 
 
 def resolution_report(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
     """(source, canonical, label, original, found), one row per canonical column and source."""
-    names = F.array(*[F.struct(F.lit(c.name).alias("canonical"), F.lit(c.label).alias("label")) for c in columns])
     rows = resolve(headers, columns).select(
-        "source", "raw", F.explode(F.arrays_zip(names.alias("name"), F.col("positions").alias("at"))).alias("r")
+        "source", "raw", F.explode(F.arrays_zip(_constants(columns).alias("name"), F.col("positions").alias("at"))).alias("r")
     )
     original = _shown(F.get("raw", F.col("r.at")))
     return rows.select(
-        "source", "r.name.canonical", "r.name.label", original.alias("original"), F.col("r.at").isNotNull().alias("found")
+        "source",
+        F.col("r.name.canonical").alias("canonical"),
+        F.col("r.name.label").alias("label"),
+        original.alias("original"),
+        F.col("r.at").isNotNull().alias("found"),
     )
 
 
