@@ -119,10 +119,13 @@ RATES = (
 
 
 def with_activity_rates(df: DataFrame) -> DataFrame:
-    """Violations per organisation and the cancel/refuse rates of an aggregated table."""
-    rates = {f"{part}_rate_pct": _share(F.col(part), F.col(whole)) for part, whole in RATES}
-    per_org = C.safe_ratio(F.col("violations_total"), F.col("orgs").cast("double"))
-    return df.withColumns({"violations_per_org": per_org, **rates})
+    """Violations per organisation and the cancel/refuse rates of an aggregated table, as far as
+    their sums are present."""
+    have = set(df.columns)
+    rates = {f"{p}_rate_pct": _share(F.col(p), F.col(w)) for p, w in RATES if {p, w} <= have}
+    if "violations_total" in have:
+        rates["violations_per_org"] = C.safe_ratio(F.col("violations_total"), F.col("orgs").cast("double"))
+    return df.withColumns(rates) if rates else df
 
 
 def form_activity(df: DataFrame) -> DataFrame:
