@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,31 @@ def clean_text(c: Column) -> Column:
     return F.when(~F.lower(text).isin(*MISSING_TEXTS), text)
 
 
-# The same answers after cleaning, as one anchored search each: cheaper than building the cleaned text.
-_YES = r"(?iuU)^[\s\x1c-\x1f]*да"
-_NO = r"(?iuU)^[\s\x1c-\x1f]*нет(?![\s\x1c-\x1f]+данных[\s\x1c-\x1f]*$)"
+# The white space that \\s covers in Unicode mode, for trims that stay on the UTF-8 bytes.
+_BLANKS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_NO_DATA = r"(?iuU)^[\s\x1c-\x1f]*нет[\s\x1c-\x1f]+данных[\s\x1c-\x1f]*$"
 _NOT_FILLED = (
     r"(?iuUs)^(?![\s\x1c-\x1f]*не[\s\x1c-\x1f]+заполнено[\s\x1c-\x1f]*$).*не[\s\x1c-\x1f]+заполн"
 )
 
 
+def _spellings(word: str) -> list[str]:
+    """All upper/lower case spellings of a short word."""
+    return ["".join(p) for p in product(*[(ch.lower(), ch.upper()) for ch in word])]
+
+
 def yes_flag(c: Column) -> Column:
-    """1.0 for answers beginning with "да", 0.0 for "нет", null otherwise; "нет данных" is no answer."""
-    text = c.cast("string")
-    return F.when(text.rlike(_YES), F.lit(1.0)).when(text.rlike(_NO), F.lit(0.0))
+    """1.0 for answers beginning with "да", 0.0 for "нет", null otherwise; "нет данных" is no answer.
+
+    Equal to testing the prefix of the cleaned lower-case text, without building that text.
+    """
+    text = F.ltrim(c.cast("string"), F.lit(_BLANKS))
+    yes = F.substring(text, 1, 2).isin(_spellings("да"))
+    no = F.substring(text, 1, 3).isin(_spellings("нет"))
+    return F.when(yes, F.lit(1.0)).when(no & ~text.rlike(_NO_DATA), F.lit(0.0))
 
 
 def to_number(c: Column, data_type: T.DataType) -> Column:
@@ -97,7 +111,7 @@ def form_name(level: Column) -> Column:
 
 
 def org_type_class(c: Column) -> Column:
-    text = F.trim(F.regexp_replace(c.cast("string"), _SPACES + r"$|^" + _SPACES, ""))
+    text = F.trim(c.cast("string"), F.lit(_BLANKS))
     return F.when(text.isin(*KEPT_ORG_TYPES), text).otherwise(OTHER_ORG_TYPE)
 
 

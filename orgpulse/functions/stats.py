@@ -82,7 +82,7 @@ def _inside(df: DataFrame, columns: dict[str, Column], brackets: Sequence[_Brack
     used = {b.column for b in brackets}
     rows = _long(df, {n: c for n, c in columns.items() if n in used})
     on = (F.col("name") == F.col("b_name")) & (F.col("value") > F.col("b_low")) & (F.col("value") < F.col("b_high"))
-    return rows.join(_bracket_table(df, brackets), on)
+    return rows.join(_bracket_table(df, brackets), on).select("b_no", "value")
 
 
 def _narrow(
@@ -179,16 +179,15 @@ def order_statistics(
         brackets = [b for b in brackets if b.size <= bracket_rows] + narrowed
     if brackets:
         w = Window.partitionBy("b_no").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        hits = F.exists("b_positions", lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("c")))
         rows = (
             _inside(df, columns, brackets)
-            .groupBy("b_no", "b_before", "b_positions", "value")
+            .groupBy("b_no", "value")
             .agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("before", F.col("b_before") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-            .where(
-                F.exists(
-                    "b_positions", lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("c"))
-                )
-            )
+            .withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+            .join(_bracket_table(df, brackets), "b_no")
+            .withColumn("before", F.col("b_before") + F.col("below"))
+            .where(hits)
             .select("b_no", "value", "before", "c")
             .collect()
         )
@@ -206,29 +205,59 @@ def _quantile_positions(q: float, n: int) -> tuple[int, int, float]:
     return low + 1, min(low + 2, n), at - low
 
 
+def quantiles_and_cuts(
+    df: DataFrame,
+    wanted: dict[str, tuple[Column, Sequence[float]]],
+    cuts: dict[str, tuple[Column, Sequence[float]]],
+    bracket_rows: int = BRACKET_ROWS,
+) -> tuple[dict[tuple[str, float], float | None], dict[str, tuple[float, ...]]]:
+    """Both kinds of statistics (see :func:`quantiles`, :func:`percentile_cuts`) in the same passes."""
+    q_names = {f"q {n}": n for n in wanted}
+    c_names = {f"c {n}": n for n in cuts}
+    columns = {k: wanted[n][0] for k, n in q_names.items()} | {k: cuts[n][0] for k, n in c_names.items()}
+
+    def near(share: float, n: int) -> range:
+        at = math.floor(share * n)
+        return range(max(at - 1, 1), min(at + 2, n) + 1)
+
+    def positions(name: str, n: int) -> list[int]:
+        if name in q_names:
+            return [p for q in wanted[q_names[name]][1] for p in _quantile_positions(q, n)[:2]]
+        return [p for s in cuts[c_names[name]][1] for p in near(s, n)]
+
+    sizes, found = order_statistics(df, columns, positions, bracket_rows)
+
+    def quantile(name: str, q: float) -> float | None:
+        if not sizes[name]:
+            return None
+        lo, hi, share = _quantile_positions(q, sizes[name])
+        a, b = found[(name, lo)].value, found[(name, hi)].value
+        # The same two-sided interpolation numpy uses, so equal inputs give equal doubles.
+        step = b - a
+        return a + step * share if share < 0.5 else b - step * (1 - share)
+
+    def cut(name: str, share: float) -> float:
+        n = sizes[name]
+        around = [found[(name, p)] for p in near(share, n)]
+        within = [o.value for o in around if (o.before + (o.count + 1) / 2) / n <= share]
+        if within:
+            return max(within)
+        # Everything below the nearest tie group is within the share, the group itself is not.
+        return float(np.nextafter(min(o.value for o in around), -np.inf)) if around else -math.inf
+
+    return (
+        {(n, q): quantile(k, q) for k, n in q_names.items() for q in wanted[n][1]},
+        {n: tuple(cut(k, s) for s in cuts[n][1]) for k, n in c_names.items()},
+    )
+
+
 def quantiles(
     df: DataFrame,
     wanted: dict[str, tuple[Column, Sequence[float]]],
     bracket_rows: int = BRACKET_ROWS,
 ) -> dict[tuple[str, float], float | None]:
     """Exact linearly interpolated quantiles; null where the column holds no value."""
-
-    def positions(name: str, n: int) -> list[int]:
-        return [p for q in wanted[name][1] for p in _quantile_positions(q, n)[:2]]
-
-    sizes, found = order_statistics(df, {k: v[0] for k, v in wanted.items()}, positions, bracket_rows)
-    out: dict[tuple[str, float], float | None] = {}
-    for name, (_, qs) in wanted.items():
-        for q in qs:
-            if not sizes[name]:
-                out[(name, q)] = None
-                continue
-            lo, hi, share = _quantile_positions(q, sizes[name])
-            a, b = found[(name, lo)].value, found[(name, hi)].value
-            # The same two-sided interpolation numpy uses, so equal inputs give equal doubles.
-            step = b - a
-            out[(name, q)] = a + step * share if share < 0.5 else b - step * (1 - share)
-    return out
+    return quantiles_and_cuts(df, wanted, {}, bracket_rows)[0]
 
 
 def percentile_cuts(
@@ -242,27 +271,4 @@ def percentile_cuts(
 
     A level that is a step function of the percentile therefore needs no per-row rank at all.
     """
-
-    def near(share: float, n: int) -> range:
-        at = math.floor(share * n)
-        return range(max(at - 1, 1), min(at + 2, n) + 1)
-
-    sizes, found = order_statistics(
-        df, columns, lambda _, n: [p for s in shares for p in near(s, n)], bracket_rows
-    )
-    out = {}
-    for name in columns:
-        n = sizes[name]
-        cuts = []
-        for s in shares:
-            around = [found[(name, p)] for p in near(s, n)]
-            within = [o.value for o in around if (o.before + (o.count + 1) / 2) / n <= s]
-            if within:
-                cuts.append(max(within))
-            elif around:
-                # Everything below the nearest tie group is within the share, the group itself is not.
-                cuts.append(float(np.nextafter(min(o.value for o in around), -np.inf)))
-            else:
-                cuts.append(-math.inf)
-        out[name] = tuple(cuts)
-    return out
+    return quantiles_and_cuts(df, {}, {n: (c, shares) for n, c in columns.items()}, bracket_rows)[1]

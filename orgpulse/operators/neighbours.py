@@ -36,8 +36,8 @@ from orgpulse.staging import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BOX_ROWS = 2_000
-MAX_BOXES = 16_384
-SAMPLE_PER_BOX = 64
+MAX_BOXES = 65_536
+SAMPLE_PER_BOX = 32
 VISITS_PER_TASK = 20_000
 FIRST_FAN = 8
 
@@ -155,35 +155,41 @@ def _visit(k: int):
 def _next_visits(k: int, fan: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray):
     """Boxes each location must still look into, nearest first, at most `fan` of them now."""
 
+    def due(rows: pd.DataFrame, box: int) -> pd.DataFrame:
+        """Visits of locations that share a box."""
+        at = rows[XYZ].to_numpy(dtype=float)
+        bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in rows["dists"]])
+        # Slack for rounding: one visit too many costs little, one too few is wrong.
+        bound = bound * (1 + 1e-9) + 1e-12
+        # Boxes out of reach of the whole group need no look per location.
+        apart = np.maximum(np.maximum(low - at.max(axis=0), at.min(axis=0) - high), 0.0)
+        reach = (np.sqrt((apart**2).sum(axis=1)) <= bound.max()) & (numbers != box)
+        gaps = box_distance(at, low[reach], high[reach])
+        rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1, kind="stable")
+        # Boxes within the bound are the nearest ones, so their ranks do not depend on the others.
+        done = rows["visited"].to_numpy()[:, None]
+        open_ = (gaps <= bound[:, None]) & (rank >= done)
+        now = open_ & (rank < done + fan)
+        last = ~(open_ & ~now).any(axis=1)
+        i, j = np.nonzero(now)
+        return pd.DataFrame(
+            {
+                "loc": rows["loc"].to_numpy()[i],
+                "to_box": numbers[reach][j].astype(np.int32),
+                "x": at[i, 0],
+                "y": at[i, 1],
+                "z": at[i, 2],
+                "bound": bound[i],
+                "last": last[i],
+            }
+        )
+
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, 500_000 // len(numbers))
+        step = max(1, 4_000_000 // len(numbers))
         for batch in batches:
-            for start in range(0, len(batch), step):
-                rows = batch.iloc[start : start + step]
-                bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in rows["dists"]])
-                gaps = box_distance(rows[XYZ].to_numpy(dtype=float), low, high)
-                gaps[numbers[None, :] == rows["box"].to_numpy()[:, None]] = np.inf
-                # Slack for rounding: one visit too many costs little, one too few is wrong.
-                near = gaps <= (bound * (1 + 1e-9) + 1e-12)[:, None]
-                near &= np.isfinite(gaps)
-                order = np.argsort(gaps, axis=1, kind="stable")
-                rank = np.argsort(order, axis=1, kind="stable")
-                done = rows["visited"].to_numpy()[:, None]
-                due = near & (rank >= done)
-                now = due & (rank < done + fan)
-                last = ~(due & ~now).any(axis=1)
-                i, j = np.nonzero(now)
-                yield pd.DataFrame(
-                    {
-                        "loc": rows["loc"].to_numpy()[i],
-                        "to_box": numbers[j].astype(np.int32),
-                        "x": rows["x"].to_numpy()[i],
-                        "y": rows["y"].to_numpy()[i],
-                        "z": rows["z"].to_numpy()[i],
-                        "bound": bound[i] * (1 + 1e-9) + 1e-12,
-                        "last": last[i],
-                    }
-                )
+            for box, rows in batch.groupby("box", sort=False):
+                for start in range(0, len(rows), step):
+                    yield due(rows.iloc[start : start + step], box)
 
     return plan
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from orgpulse.config import OTHER_ORG_TYPE, RISK_GROUPS, ScoringConfig
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile
-from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles
+from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles_and_cuts
 from orgpulse.operators import flags
 
 
@@ -33,30 +33,39 @@ class ReportStats:
 
 
 # ---- row-level preparation --------------------------------------------------------------------
+#
+# A computed column that a later step uses twice starts a new projection, and each projection
+# copies the wide row. The steps below therefore add their columns in as few layers as they can and
+# repeat a shared expression inside a layer, where it is evaluated once.
 
 
-def with_report_class(df: DataFrame) -> DataFrame:
+def _class_columns(df: DataFrame) -> dict[str, Column]:
     """Organisation type class and filled flag; an absent column takes the default class."""
     org_class = C.org_type_class(F.col("org_type")) if "org_type" in df.columns else F.lit(OTHER_ORG_TYPE)
     filled = C.is_filled(F.col("report_status")) if "report_status" in df.columns else F.lit(True)
-    return df.withColumns({"org_type_classified": org_class, "is_report_filled": filled})
+    return {"org_type_classified": org_class, "is_report_filled": filled}
 
 
-def with_form_level(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Strongest form of control answered with yes, 0 when none is."""
-    df = df.withColumns({f"{f.column}__yes": C.flag_or_zero(df, f.column) for f in cfg.forms})
+def _form_answers(df: DataFrame, cfg: ScoringConfig) -> dict[str, Column]:
+    return {f"{f.column}__yes": C.flag_or_zero(df, f.column) for f in cfg.forms}
+
+
+def _form_columns(cfg: ScoringConfig) -> dict[str, Column]:
     levels = [F.col(f"{f.column}__yes") * f.level for f in cfg.forms] + [F.lit(0.0)]
     level = (F.greatest(*levels) if len(levels) > 1 else levels[0]).cast("int")
-    return df.withColumn("svk_form_level", level).withColumn("svk_form_name", C.form_name(F.col("svk_form_level")))
+    return {"svk_form_level": level, "svk_form_name": C.form_name(level)}
+
+
+def with_form_level(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """Strongest form of control answered with yes, 0 when none is."""
+    return df.withColumns(_form_answers(df, cfg)).withColumns(_form_columns(cfg))
 
 
-def with_direction_metrics(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Numeric metrics (absent or unreadable is 0), cover flag and activity of every direction."""
+def _metric_columns(df: DataFrame, cfg: ScoringConfig) -> dict[str, Column]:
+    """Metrics as numbers (absent or unreadable is 0) and the cover flag of every direction."""
     numbers = {m: C.number_or_zero(df, m) for m in cfg.metrics}
     covers = {f"{d.key}_covered": C.flag_or_zero(df, d.cover_column).cast("int") for d in cfg.directions}
-    df = df.withColumns(numbers).withColumns(covers)
-    df = df.withColumns({f"{m}__num": F.col(m) for m in cfg.metrics})
-    return df.withColumns({f"{d.key}_active": _active(d.metrics) for d in cfg.directions})
+    return numbers | covers
 
 
 def _active(metrics: Sequence[str]) -> Column:
@@ -66,7 +75,11 @@ def _active(metrics: Sequence[str]) -> Column:
 
 
 def prepare(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    return with_direction_metrics(with_form_level(with_report_class(df), cfg), cfg)
+    """Classes, form, numeric metrics, cover flags and activity of every row."""
+    answers = _class_columns(df) | _form_answers(df, cfg) | _metric_columns(df, cfg)
+    copies = {f"{m}__num": F.col(m) for m in cfg.metrics}
+    active = {f"{d.key}_active": _active(d.metrics) for d in cfg.directions}
+    return df.withColumns(answers).withColumns(_form_columns(cfg) | copies | active)
 
 
 # ---- whole-report statistics ------------------------------------------------------------------
@@ -85,11 +98,11 @@ def fit_load_cuts(
 
 def fit(df: DataFrame, cfg: ScoringConfig, bracket_rows: int = BRACKET_ROWS) -> ReportStats:
     prepared = prepare(df, cfg)
-    cuts = fit_load_cuts(prepared, cfg, [m for m in cfg.metrics if m in df.columns], bracket_rows)
     ratio = C.safe_ratio(C.number_or_zero(prepared, "violations_total"), C.number_or_zero(prepared, "fkhz_count"))
-    tails = quantiles(
+    tails, cuts = quantiles_and_cuts(
         prepared,
         {"staff": (C.number_or_zero(prepared, "staff_avg"), [0.75]), "ratio": (ratio, [0.99])},
+        {m: (positive(m), cfg.level_cuts) for m in cfg.metrics if m in df.columns},
         bracket_rows,
     )
     staff, tail = tails[("staff", 0.75)], tails[("ratio", 0.99)]
@@ -117,18 +130,16 @@ def with_load_levels(df: DataFrame, cfg: ScoringConfig, cuts: dict[str, tuple[fl
         levels = [level_of(F.col(m), cuts[m]) for m in metrics if m in cuts] + [F.lit(0)]
         return F.greatest(*levels) if len(levels) > 1 else levels[0]
 
-    df = df.withColumns({f"{d.key}_load_level": level(d.metrics) for d in cfg.directions})
-    uncovered = {
-        f"{d.key}_uncovered": ((F.col(f"{d.key}_active") == 1) & (F.col(f"{d.key}_covered") != 1)).cast("int")
-        for d in cfg.directions
-    }
-    df = df.withColumns(uncovered)
-    return df.withColumns(
-        {
-            f"{d.key}_uncovered_load": F.col(f"{d.key}_uncovered") * F.col(f"{d.key}_load_level")
-            for d in cfg.directions
+    columns = {}
+    for d in cfg.directions:
+        load = level(d.metrics)
+        uncovered = ((F.col(f"{d.key}_active") == 1) & (F.col(f"{d.key}_covered") != 1)).cast("int")
+        columns |= {
+            f"{d.key}_load_level": load,
+            f"{d.key}_uncovered": uncovered,
+            f"{d.key}_uncovered_load": uncovered * load,
         }
-    )
+    return df.withColumns(columns)
 
 
 def load_scores(
@@ -165,18 +176,18 @@ def with_coverage(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     keys = [d.key for d in cfg.directions]
     loads = [f"{k}_uncovered_load" for k in keys]
     both = reduce(add, [F.col(f"{k}_active") * F.col(f"{k}_covered") for k in keys])
-    df = df.withColumns(
+    active = _total([f"{k}_active" for k in keys])
+    return df.withColumns(
         {
-            "active_directions_count": _total([f"{k}_active" for k in keys]),
+            "active_directions_count": active,
             "covered_active_directions_count": both,
+            "coverage_share_active": C.safe_ratio(both.cast("double"), active.cast("double")),
             "uncovered_active_directions_count": _total([f"{k}_uncovered" for k in keys]),
             "uncovered_load_sum": _total(loads),
             "max_uncovered_load": _largest(loads),
             "max_direction_load_level": _largest([f"{k}_load_level" for k in keys]),
         }
     )
-    share = C.safe_ratio(F.col("covered_active_directions_count").cast("double"), F.col("active_directions_count").cast("double"))
-    return df.withColumn("coverage_share_active", share)
 
 
 def with_recommended_form(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
@@ -187,11 +198,12 @@ def with_recommended_form(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
             add, [(F.col(f"{d.key}_load_level") >= cfg.bump_min_level).cast("int") for d in cfg.directions]
         )
         level = level + F.when(loaded >= cfg.bump_min_directions, cfg.bump_by).otherwise(0)
-    df = df.withColumn("recommended_form_level", F.least(F.greatest(level, F.lit(0)), F.lit(4)))
+    recommended = F.least(F.greatest(level, F.lit(0)), F.lit(4))
     return df.withColumns(
         {
-            "recommended_form_name": C.form_name(F.col("recommended_form_level")),
-            "form_gap": F.col("svk_form_level") - F.col("recommended_form_level"),
+            "recommended_form_level": recommended,
+            "recommended_form_name": C.form_name(recommended),
+            "form_gap": F.col("svk_form_level") - recommended,
         }
     )
 
@@ -268,22 +280,28 @@ def with_peers(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     return df.withColumn("form_vs_peer", F.col("svk_form_level") - F.col("peer_form_median"))
 
 
-def with_risk_group(df: DataFrame) -> DataFrame:
+def risk_group() -> Column:
+    """Risk group of a row, first condition that holds."""
     gap = F.col("form_gap") < 0
     uncovered = F.col("uncovered_active_directions_count") > 0
-    group = (
+    return (
         F.when(~F.col("is_report_filled"), RISK_GROUPS["E"])
         .when(uncovered & gap, RISK_GROUPS["D"])
         .when(uncovered, RISK_GROUPS["B"])
         .when(gap, RISK_GROUPS["C"])
         .otherwise(RISK_GROUPS["A"])
     )
-    return df.withColumn("risk_group", group)
 
 
-def with_quality_flags(df: DataFrame, cfg: ScoringConfig, stats: ReportStats) -> DataFrame:
+def with_risk_group(df: DataFrame) -> DataFrame:
+    return df.withColumn("risk_group", risk_group())
+
+
+def with_verdicts(df: DataFrame, cfg: ScoringConfig, stats: ReportStats) -> DataFrame:
+    """Risk group and the three texts of rule flags."""
     return df.withColumns(
         {
+            "risk_group": risk_group(),
             "contradictions": flags.contradictions(df),
             "anomalies": flags.anomalies(df, cfg, stats.staff_p75, stats.violation_ratio_p99),
             "data_quality_flags": flags.quality_flags(df, cfg),
@@ -311,8 +329,7 @@ def enrich(
     prepared = prepare(df, cfg)
     out = with_load_levels(prepared, cfg, stats.load_cuts)
     out = with_recommended_form(with_coverage(out, cfg), cfg)
-    out = with_risk_group(with_peers(out, cfg))
-    out = with_quality_flags(out, cfg, stats)
+    out = with_verdicts(with_peers(out, cfg), cfg, stats)
     if scores:
         out = with_load_scores(out, load_scores(prepared, cfg, keys, present), cfg, keys)
     return out

@@ -16,6 +16,10 @@ from orgpulse.config import REPORT_COLUMNS, ReportColumn
 from orgpulse.sources.sheets import broadcast_if_few
 
 
+# Header layouts (a few kilobytes each) that may be broadcast.
+MAX_LAYOUTS = 2_000
+
+
 def distinct_headers(headers: Column) -> Column:
     """Blank headers get a positional name, repeated ones a numeric suffix (".1", ".2", ...)."""
     named = F.transform(
@@ -74,13 +78,27 @@ def _match_index(normal: Column, patterns: Column) -> Column:
     return F.coalesce(first_hit(equal), first_hit(similar))
 
 
-def resolve(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
-    """(source, raw, positions): for every source the header index of each canonical column."""
-    prepared = headers.select("source", distinct_headers(F.col("headers")).alias("raw")).withColumn(
+def _resolve_each(layouts: DataFrame, columns: Sequence[ReportColumn]) -> DataFrame:
+    prepared = layouts.withColumn("raw", distinct_headers(F.col("headers"))).withColumn(
         "normal", F.transform("raw", normal_header)
     )
     indexes = F.transform(_constants(columns), lambda c: _match_index(F.col("normal"), c["patterns"]).cast("int"))
-    return prepared.select("source", "raw", indexes.alias("positions"))
+    return prepared.withColumn("positions", indexes).drop("normal")
+
+
+def resolve(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
+    """(source, raw, positions): for every source the header index of each canonical column.
+
+    Sources mostly share a few header layouts. While those are few, each layout is matched once and
+    handed back to its sources by broadcast; otherwise every source is matched on its own.
+    """
+    rows = headers.select("source", "headers")
+    layouts = rows.select("headers").distinct()
+    if layouts.limit(MAX_LAYOUTS + 1).count() <= MAX_LAYOUTS:
+        matched = rows.join(F.broadcast(_resolve_each(layouts, columns)), "headers")
+    else:
+        matched = _resolve_each(rows, columns)
+    return matched.select("source", "raw", "positions")
 
 
 def resolution_report(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
