@@ -662,7 +662,7 @@ scored("risk_groups", f"SELECT risk_group, count(*) AS orgs, round({share('count
 for _name, _dim in (("by_district", "federal_district"), ("by_org_type", "org_type")):
     scored(
         _name,
-        f"SELECT {_dim}, count(org_name) AS orgs, round(avg(coverage_share_active), 6) AS avg_coverage, round(avg(form_gap), 6) AS avg_form_gap,"
+        f"SELECT {_dim}, count(org_name) AS orgs, round(avg(coverage_share_active), 6) AS avg_coverage, round(avg(form_gap), 6) + 0.0::DOUBLE AS avg_form_gap,"
         " count(*) FILTER (WHERE risk_group LIKE 'D.%') AS double_risk_orgs, count(*) FILTER (WHERE form_gap < 0) AS weak_form_orgs,"
         " count(*) FILTER (WHERE uncovered_active_directions_count > 0) AS uncovered_orgs FROM enr GROUP BY 1",
     )
@@ -731,16 +731,16 @@ scored("scale_level", PROPORTION + f"SELECT org_id, {r('score', 8, 'scale_score'
 scored("mahalanobis", PROPORTION + f"SELECT org_id, {r('distance_sq', 5)}, scale_outlier AS outlier FROM prop")
 scored(
     "robust_z",
-    PROPORTION + "SELECT org_id, " + ", ".join(f"round({n}_x, 6) AS {n}_z" for n, _, _, _ in AXIS_RATIOS) + " FROM prop",
+    PROPORTION + "SELECT org_id, " + ", ".join(f"round({n}_x, 6) + 0.0::DOUBLE AS {n}_z" for n, _, _, _ in AXIS_RATIOS) + " FROM prop",
 )
-scored("unit_ratios", PROPORTION + "SELECT org_id, " + ", ".join(r(n, 6) for n, _, _, _ in AXIS_RATIOS) + " FROM prop")
+scored("unit_ratios", PROPORTION + "SELECT org_id, " + ", ".join(n for n, _, _, _ in AXIS_RATIOS) + " FROM prop")
 scored(
     "proportionality_all",
     PROPORTION
     + "SELECT org_id, org_name, org_type, org_type_classified, federal_district, region, cash_receipts, staff_avg, fkhz_count, "
     + ", ".join(f"round_even({a}_r * 100, 1) AS {a}_pct" for a in AXES)
     + ", round_even(score, 3) AS scale_score, scale_level, svk_form_level, svk_form_name, round_even(sqrt(distance_sq), 2) AS mahalanobis, scale_outlier, "
-    + ", ".join(f"round({n}, 6) AS {n}, round_even({n}_x, 2) AS {n}_z" for n, _, _, _ in AXIS_RATIOS)
+    + ", ".join(f"{n}, round_even({n}_x, 2) + 0.0::DOUBLE AS {n}_z" for n, _, _, _ in AXIS_RATIOS)
     + ", scale_vs_form, anomaly_reasons, anomaly_reasons <> '' AS is_anomaly, anomaly_score FROM prop",
 )
 scored(
@@ -895,14 +895,14 @@ def _bin_table(median: str) -> str:
     )
 
 
-scored("scale_axis", SCALE + "SELECT org_id, active, round(signed_scale, 6) AS signed_scale FROM ps")
+scored("scale_axis", SCALE + "SELECT org_id, active, round(signed_scale, 6) + 0.0::DOUBLE AS signed_scale FROM ps")
 scored("scale_bins", SCALE + _bin_table("round_even(median(svk_form_level), 0)"))
 scored("scale_bins_share", SCALE + _bin_table("median(svk_form_level)"))
 scored(
     "bin_orgs",
     SCALE
     + "SELECT org_id, bin_idx, round(signed_scale_left, 4) AS signed_scale_left, round(signed_scale_right, 4) AS signed_scale_right,"
-    " round(signed_scale_mid, 4) AS signed_scale_mid, round(signed_scale, 4) AS signed_scale, org_name, cash_receipts, staff_avg, fkhz_count,"
+    " round(signed_scale_mid, 4) + 0.0::DOUBLE AS signed_scale_mid, round(signed_scale, 4) + 0.0::DOUBLE AS signed_scale, org_name, cash_receipts, staff_avg, fkhz_count,"
     " svk_form_level, svk_form_name, " + ", ".join(MEASURES) + " FROM mem",
 )
 scored(

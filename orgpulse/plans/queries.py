@@ -64,8 +64,8 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Round half up at a fixed number of digits, as the oracle does."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Round half up at a fixed number of digits, as the oracle does; adding zero drops its sign."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,14 +525,13 @@ def robust_z(spark, sf_dir):
 @query
 def unit_ratios(spark, sf_dir):
     rows = proportionality.axis_rows(enriched(spark, sf_dir), ["org_id"])
-    ratios = [proportionality.unit_ratio(a, b).alias(n) for n, a, b, _ in AXIS_RATIOS]
-    return rounded(rows.select("org_id", *ratios), 6, *[n for n, _, _, _ in AXIS_RATIOS])
+    return rows.select("org_id", *[proportionality.unit_ratio(a, b).alias(n) for n, a, b, _ in AXIS_RATIOS])
 
 
 @query
 def proportionality_all(spark, sf_dir):
     df = proportionality.proportionality(enriched(spark, sf_dir), CONFIG)
-    return rounded(df, 6, *[n for n, _, _, _ in AXIS_RATIOS])
+    return rounded(df, 2, *[f"{n}_z" for n, _, _, _ in AXIS_RATIOS])
 
 
 @query

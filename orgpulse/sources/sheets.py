@@ -23,7 +23,8 @@ BROADCAST_SOURCES = 100_000
 
 def read_sheets(spark: SparkSession, path: str, cells: int = MAX_CELLS, **options: str) -> DataFrame:
     """Delimited files without assuming where the header is. Rows of a file are ordered by the start
-    of their split and their place in it, so large files stay splittable."""
+    of their split and their place in it, so large files stay splittable. Stage the result: the place
+    is only comparable within one scan, and every later step reads the rows again."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(cells)])
     raw = spark.read.schema(schema).options(header="false", mode="PERMISSIVE", **options).csv(path)
     return raw.select(

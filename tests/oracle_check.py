@@ -32,7 +32,7 @@ def _plain(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.10g}")
+        return None if math.isnan(v) else float(f"{v:.10g}") + 0.0
     if isinstance(v, int):
         return float(v)
     return v

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from orgpulse.config import REPORT_COLUMNS, ScoringConfig
 from orgpulse.operators import scoring, selection, summaries
 from orgpulse.sources import schema, sheets, sinks
+from orgpulse.staging import stage
 
 CFG = ScoringConfig()
 NBSP = " "
@@ -125,7 +126,7 @@ def folder(tmp_path_factory):
 
 
 def test_sheets_to_report(spark, folder):
-    raw = sheets.read_sheets(spark, str(folder), cells=6, sep=";")
+    raw = stage(sheets.read_sheets(spark, str(folder), cells=6, sep=";"), "sheets")
     headers = sheets.detect_headers(raw, ["block", "row"])
     got = {r["source"][-5:]: (r["header_row"], r["markers"], r["accepted"]) for r in headers.collect()}
     # an empty line is not a row of a delimited file; ";;" is
