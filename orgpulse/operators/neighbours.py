@@ -87,12 +87,13 @@ def _locations(points: DataFrame, key: str, keep: int) -> DataFrame:
     organisations sends a handful of rows per task.
     """
     first = Window.partitionBy(*XYZ).orderBy(key)
+    members = F.collect_list(F.struct(key, "name", "form")).over(first.rowsBetween(Window.currentRow, keep - 1))
     return (
         points.withColumn("rn", F.row_number().over(first))
         .where(F.col("rn") <= keep)
-        .groupBy(*XYZ)
-        .agg(F.sort_array(F.collect_list(F.struct(key, "name", "form"))).alias("members"))
-        .withColumn("loc", F.col("members")[0][key])
+        .withColumn("members", members)
+        .where(F.col("rn") == 1)
+        .select(F.col(key).alias("loc"), *XYZ, "members")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orgpulse.config import ScoringConfig
-from orgpulse.operators import neighbours, scale_profile, selection, summaries
+from orgpulse.operators import neighbours, proportionality, scale_profile, selection, summaries
 
 
 def short_tables(enriched: DataFrame, cfg: ScoringConfig) -> dict[str, DataFrame]:
@@ -54,6 +54,42 @@ def bundle_tables(enriched: DataFrame, cfg: ScoringConfig, key: str = "org_id")
     return tables
 
 
+EXTRACT_COLUMNS = (
+    "org_name",
+    "org_type_classified",
+    "federal_district",
+    "region",
+    "cash_receipts",
+    "staff_avg",
+    "fkhz_count",
+    "svk_form_name",
+)
+BIN_EXTRACT_COLUMNS = ("org_name", "cash_receipts", "staff_avg", "fkhz_count", "svk_form_name", "signed_scale")
+
+
+def extract_tables(
+    enriched: DataFrame, cfg: ScoringConfig, key: str = "org_id", bin_idx: int = 0
+) -> dict[str, DataFrame]:
+    """Row lists for checking: what the analyses put aside, and the members of one bin."""
+    table = proportionality.proportionality(enriched, cfg, (key,))
+    _, extreme = proportionality.split_extremes(table, keys=(key,))
+    kept, trimmed = proportionality.split_profile_outliers(enriched)
+    tables = {
+        "top_risk_organizations": summaries.top_risk(enriched, 100, (key,)),
+        "contradictions": selection.contradictions(enriched),
+        "anomalies": selection.anomalies(enriched),
+        "extreme_values": selection.present(extreme, [*EXTRACT_COLUMNS, "extreme_reason"]),
+        "scale_profile_trimmed": selection.present(trimmed, [*EXTRACT_COLUMNS, "profile_trim_reason"]),
+        "cloud_peer_3d": neighbours.cloud_peers(enriched, cfg, key),
+    }
+    axis = scale_profile.fit_scale_axis(kept, cfg)
+    if axis is not None:
+        members = scale_profile.bin_members(kept, axis, (key,))
+        rows = scale_profile.ordered_members(members, bin_idx, (key,))
+        tables[f"scale_profile_bin_{bin_idx + 1}"] = selection.present(rows, BIN_EXTRACT_COLUMNS)
+    return tables
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> str:
     """Write one table; CSV leaves out nested columns, which its text form already covers."""
     if fmt == "csv":

@@ -172,3 +172,11 @@ def test_write_tables(spark, enriched, tmp_path):
     assert "neighbors" not in spark.read.option("header", True).csv(path).columns
     year = sinks.write_table(enriched.withColumn("analysis_year", F.lit(2025)), str(tmp_path / "y"), partition_by="analysis_year")
     assert spark.read.parquet(year).where("analysis_year = 2025").count() == 60
+
+
+def test_extract_tables(enriched):
+    tables = sinks.extract_tables(enriched, CFG)
+    assert len(tables) == 7
+    assert tables["scale_profile_trimmed"].columns[-1] == "profile_trim_reason"
+    assert tables["scale_profile_bin_1"].columns[-1] == "signed_scale" and tables["scale_profile_bin_1"].count() > 0
+    assert tables["extreme_values"].count() > 0
