@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _shared: dict[tuple[str, str, str], DataFrame] = {}
+_local_roots: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -22,9 +23,10 @@ def staging_root(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="orgpulse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="orgpulse-")
+    return _local_roots[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
