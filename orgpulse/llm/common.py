@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A batch that crosses to Python holds about this many bytes, however long its texts are.
-BATCH_BYTES = 16 << 20
-_PIECE = 4 << 20  # bytes hashed by one pass of array operations
+BATCH_BYTES = 6 << 20
+_PIECE = 1 << 20  # bytes hashed by one pass of array operations
 _U = np.uint64
 
 

@@ -14,8 +14,6 @@ With the defaults a pair at similarity 0.8 shares no band with probability (1 -
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +26,7 @@ PERMUTATIONS = 64
 ROWS = 4
 WIDTH = 2
 SIMILARITY = (80, 100)
-FIRST_PROBES = 4
+FIRST_PROBES = 1
 # Up to this many ids (16 bytes each) of candidate classes are broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -115,60 +113,58 @@ def _linked(similarity: tuple[int, int]) -> Column:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable over the links (a, b), for every id that has a link.
+    """(id, root): the smallest id reachable over the links (a, b), for every id above its root.
     Alternating star contraction; every step is aggregation and join, cut off by a written table."""
     edges = stage(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
-    mark = None
     while True:
+        many = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        above = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+        if many.isEmpty() and above.isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         # Large star: every neighbour above u moves to the smallest of u and its neighbours.
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours move to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = stage(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .where("u > v")
-            .distinct(),
-            "edges",
-        )
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
-        # Each id below exactly one smaller id, and nothing moved: every component is a star.
-        if now[0] == now[2] and mark == tuple(now):
-            break
-        mark = tuple(now)
-    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
-
-
-def find_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int], probes: int) -> DataFrame | None:
-    """(a, b): confirmed links that join everything reachable within the buckets (key, id)."""
-    spark = members.sparkSession
-    rank = F.xxhash64("key", "id").bitwiseAND(F.lit((1 << 62) - 1))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        edges = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def find_components(members: DataFrame, sets: DataFrame, similarity: tuple[int, int], probes: int) -> DataFrame:
+    """(id, root) of every member id: components over the confirmed links within the buckets (key, id).
+
+    Probes are the members of lowest hash, the same in all buckets that a group of near copies shares,
+    so the group is compared with few of its members. Links are contracted to links between the
+    components of the last round; only those go through `connected`."""
+    rank = F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1))
+    ids = stage(members.select("id").distinct().withColumn("root", F.col("id")), "components")
     state = members.withColumns({"rank": rank, "comp": F.col("id")})
     checked: DataFrame | None = None
-    links: list[DataFrame] = []
     while True:
         groups = state.groupBy("key").agg(
             F.count("*").alias("size"), F.min("rank").alias("low"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
         )
-        share = F.lit(float(1 << 62)) * F.lit(probes) / F.col("size")
-        groups = groups.where("c1 < c2").select(
-            "key", F.greatest("low", F.least(share, F.lit(float(1 << 62))).cast("long")).alias("below")
+        share = F.least(F.lit(float(1 << 62)) * F.lit(probes - 1) / F.col("size"), F.lit(float(1 << 62)))
+        groups = groups.where("c1 < c2").select("key", F.greatest("low", share.cast("long")).alias("below"))
+        state = stage(
+            state.join(groups, "key").withColumn("probe", F.col("rank") <= F.col("below")).drop("below"), "buckets"
         )
-        state = stage(state.join(groups, "key").withColumn("probe", F.col("rank") <= F.col("below")).drop("below"), "buckets")
         if state.isEmpty():
-            break
+            return ids
         probe = state.where("probe").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"))
+        first = F.col("id") < F.col("p")
         pairs = (
             state.join(probe, "key")
             .where((F.col("comp") != F.col("pc")) & (~F.col("probe") | (F.col("id") > F.col("p"))))
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+            .select(
+                F.least("id", "p").alias("a"),
+                F.greatest("id", "p").alias("b"),
+                F.when(first, F.col("comp")).otherwise(F.col("pc")).alias("ca"),
+                F.when(first, F.col("pc")).otherwise(F.col("comp")).alias("cb"),
+            )
             .distinct()
         )
         if checked is not None:
@@ -176,22 +172,23 @@ def find_links(members: DataFrame, sets: DataFrame, similarity: tuple[int, int],
         judged = stage(
             pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-            .select("a", "b", _linked(similarity).alias("ok")),
+            .select("a", "b", "ca", "cb", _linked(similarity).alias("ok")),
             "pairs",
         )
-        new = judged.where("ok").select("a", "b")
-        checked = judged.select("a", "b") if checked is None else checked.union(judged.select("a", "b"))
-        found = not new.isEmpty()
-        if found:
-            links.append(new)
-        rest = state.where("not probe").select("key", "id", "rank", "comp")
-        if found:
-            root = connected(reduce(DataFrame.union, links))
-            rest = rest.join(root, "id", "left").select(
-                "key", "id", "rank", F.coalesce("root", "id").alias("comp")
-            )
-        state, probes = rest, probes * 4
-    return reduce(DataFrame.union, links) if links else None
+        tried = judged.select("a", "b")
+        checked = tried if checked is None else checked.union(tried)
+        merged = connected(judged.where("ok").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = merged.select(F.col("id").alias("comp"), F.col("root").alias("to"))
+        ids = stage(
+            ids.withColumnRenamed("root", "comp").join(merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("root")),
+            "components",
+        )
+        state = (
+            state.where("not probe")
+            .join(merged, "comp", "left")
+            .select("key", "id", "rank", F.coalesce("to", "comp").alias("comp"))
+        )
+        probes *= 4
 
 
 def near_duplicates(
@@ -227,17 +224,14 @@ def near_duplicates(
     if members.select("id").distinct().count() <= BROADCAST_IDS:
         active = F.broadcast(active)
     sets = stage(_set_table(docs.join(active, "doc_id", "left_semi"), width), "sets")
-    links = find_links(members, sets, similarity, probes)
-    groups = classes.select("n_shingles", "fp1", "fp2", "id")
-    if links is None:
-        groups = groups.withColumn("root", F.col("id"))
-    else:
-        groups = groups.join(connected(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = classes.select("n_shingles", "fp1", "fp2", "id").join(
+        find_components(members, sets, similarity, probes), "id", "left"
+    )
     return described.join(groups, ["n_shingles", "fp1", "fp2"], "left").select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "id", "doc_id")).alias("component_id"),
+        F.coalesce(F.coalesce("root", "id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
