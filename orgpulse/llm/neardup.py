@@ -7,9 +7,15 @@ minimum and the maximum are kept, so a signature has twice as many values as has
 Texts with one shingle set are one *class*, represented by its smallest id, so thousands of copies
 cost one row. Inside a band bucket pairs are not enumerated: a few members (*probes*) are compared
 with the bucket, linked members merge, and only buckets whose unprobed members still lie in several
-components go on, with four times as many probes. A bucket of near copies collapses at once; one whose
-members are all unlike ends after logarithmically many rounds, when every member has been a probe.
-With the defaults a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
+components go on, with more probes. A bucket of near copies collapses at once. What stays open after two
+rounds holds texts that are almost alike: the ids of overlapping open buckets form clusters, and a
+cluster is compared in blocks, each pair of blocks one task of bounded size that multiplies two presence
+matrices and returns no more than a spanning set of links. Clusters over a size limit go on with probes
+until no bucket is open, so no candidate is left out.
+
+A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7 with the defaults.
+Before full sets are fetched, pairs whose signatures (four bits of each value) differ in more places
+than a pair at 0.8 does with probability 1e-5 are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +33,11 @@ ROWS = 4
 WIDTH = 2
 SIMILARITY = (80, 100)
 FIRST_PROBES = 1
+MORE_PROBES = 8  # times as many in each further round
+BLOCKS_ABOVE = 8  # ids of buckets open after so many probes are compared in blocks
+BLOCK = 128  # ids of a block
+CLUSTER = 20_000  # ids of a cluster that is compared in blocks
+_COLUMNS = 16_384  # shingles of one presence matrix
 # Up to this many ids (16 bytes each) of candidate classes are broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -57,8 +68,33 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def packed_bits(values: np.ndarray) -> np.ndarray:
+    """The low four bits of every signature value, sixteen to a word."""
+    words = -(-values.shape[1] // 16)
+    low = np.zeros((len(values), words * 16), _U)
+    low[:, : values.shape[1]] = values & _U(15)
+    shifts = np.tile(np.arange(0, 64, 4, dtype=_U), words)
+    return np.bitwise_or.reduce((low << shifts).reshape(len(values), words, 16), axis=2)
+
+
+def most_mismatches(values: int, similarity: tuple[int, int]) -> int:
+    """Signature places in which a pair of the least similarity differs, and 4.3 deviations more."""
+    differ = (1 - similarity[0] / similarity[1]) * 15 / 16
+    return int(values * differ + 4.3 * (values * differ * (1 - differ)) ** 0.5) + 1
+
+
+def _mismatches(words: int) -> Column:
+    total = F.lit(0)
+    for k in range(words):
+        x = F.get("bits", F.lit(k)).bitwiseXOR(F.get("pbits", F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def describe(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, keys): set size, 128-bit set fingerprint, band keys."""
+    """(doc_id, n_shingles, fp1, fp2, keys, bits): set size, 128-bit set fingerprint, band keys, signature."""
 
     def run(values: list[str]) -> pd.DataFrame:
         sets = shingle_sets([t.encode().lower() for t in values], width)
@@ -66,23 +102,25 @@ def describe(docs: DataFrame, width: int, permutations: int, rows: int) -> DataF
         full = np.flatnonzero(size)
         prints = np.zeros((len(sets), 2), _U)
         keys: list = [None] * len(sets)
+        bits: list = [None] * len(sets)
         if len(full):
             some = [sets[i] for i in full]
             flat, first = np.concatenate(some), np.cumsum([0, *size[full]])[:-1]
             prints[full, 0] = np.add.reduceat(mix(flat), first)
             prints[full, 1] = np.add.reduceat(mix(flat ^ _U(0xA0761D6478BD642F)), first)
-            found = signed(band_keys(min_max_values(some, permutations), rows))
+            values = min_max_values(some, permutations)
+            found, packed = signed(band_keys(values, rows)), signed(packed_bits(values))
             for row, i in enumerate(full):
-                keys[i] = found[row]
+                keys[i], bits[i] = found[row], packed[row]
         columns = {"n_shingles": size, "fp1": signed(prints[:, 0]), "fp2": signed(prints[:, 1])}
-        return pd.DataFrame({**columns, "keys": pd.Series(keys, dtype=object)})
+        return pd.DataFrame({**columns, "keys": pd.Series(keys, dtype=object), "bits": pd.Series(bits, dtype=object)})
 
-    schema = "n_shingles long, fp1 long, fp2 long, keys array<long>"
+    schema = "n_shingles long, fp1 long, fp2 long, keys array<long>, bits array<long>"
     return docs.select("doc_id", per_text(run, schema).alias("m")).select("doc_id", "m.*")
 
 
 def _set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(id, items): the full set of each text as sorted 64-bit hashes."""
+    """(id, items): the full set of each text as 64-bit hashes in ascending order, packed."""
 
     def run(values: list[str]) -> pd.Series:
         sets = shingle_sets([t.encode().lower() for t in values], width)
@@ -133,8 +171,58 @@ def connected(links: DataFrame) -> DataFrame:
         edges = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def find_components(members: DataFrame, sets: DataFrame, similarity: tuple[int, int], probes: int) -> DataFrame:
-    """(id, root) of every member id: components over the confirmed links within the buckets (key, id).
+def alike(sets: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
+    """Which of these sets are similar enough, as a matrix."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    both = np.zeros((len(sets), len(sets)))
+    for first in range(0, len(shared), _COLUMNS):
+        here = (column >= first) & (column < first + _COLUMNS)
+        seen = np.zeros((len(sets), min(_COLUMNS, len(shared) - first)), np.float32)
+        seen[row[here], column[here] - first] = 1
+        both += seen @ seen.T
+    return similarity[1] * both >= similarity[0] * (size[:, None] + size[None, :] - both)
+
+
+def _compare_blocks(ids: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links between components of the rows (id, comp, cluster, blocks), all pairs of a cluster
+    compared. Every id goes to as many pairs of blocks as its cluster has blocks."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = (
+        ids.join(sets, "id")
+        .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "comp", "items")
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.argwhere(np.triu(alike([np.frombuffer(x, _U) for x in rows["items"]], similarity), 1))
+        comp = rows["comp"].to_numpy()
+        root = {c: c for c in comp}
+        links = []
+        for x, y in found:
+            a, b = comp[x], comp[y]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((min(a, b), max(a, b)))
+        return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def find_components(
+    members: DataFrame, sets: DataFrame, similarity: tuple[int, int], probes: int, values: int
+) -> DataFrame:
+    """(id, root) of every member id: components over the confirmed links in the buckets (key, id, bits).
 
     Probes are the members of lowest hash, the same in all buckets that a group of near copies shares,
     so the group is compared with few of its members. Links are contracted to links between the
@@ -143,6 +231,7 @@ def find_components(members: DataFrame, sets: DataFrame, similarity: tuple[int,
     ids = stage(members.select("id").distinct().withColumn("root", F.col("id")), "components")
     state = members.withColumns({"rank": rank, "comp": F.col("id")})
     checked: DataFrame | None = None
+    near = _mismatches(-(-values // 16)) <= most_mismatches(values, similarity)
     while True:
         groups = state.groupBy("key").agg(
             F.count("*").alias("size"), F.min("rank").alias("low"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
@@ -154,11 +243,11 @@ def find_components(members: DataFrame, sets: DataFrame, similarity: tuple[int,
         )
         if state.isEmpty():
             return ids
-        probe = state.where("probe").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"))
+        probe = state.where("probe").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("bits").alias("pbits"))
         first = F.col("id") < F.col("p")
         pairs = (
             state.join(probe, "key")
-            .where((F.col("comp") != F.col("pc")) & (~F.col("probe") | (F.col("id") > F.col("p"))))
+            .where((F.col("comp") != F.col("pc")) & (~F.col("probe") | (F.col("id") > F.col("p"))) & near)
             .select(
                 F.least("id", "p").alias("a"),
                 F.greatest("id", "p").alias("b"),
@@ -177,18 +266,41 @@ def find_components(members: DataFrame, sets: DataFrame, similarity: tuple[int,
         )
         tried = judged.select("a", "b")
         checked = tried if checked is None else checked.union(tried)
-        merged = connected(judged.where("ok").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = merged.select(F.col("id").alias("comp"), F.col("root").alias("to"))
-        ids = stage(
-            ids.withColumnRenamed("root", "comp").join(merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("root")),
-            "components",
-        )
-        state = (
-            state.where("not probe")
-            .join(merged, "comp", "left")
-            .select("key", "id", "rank", F.coalesce("to", "comp").alias("comp"))
-        )
-        probes *= 4
+        ids, state = _contract(judged.where("ok").select("ca", "cb"), ids, state.where("not probe").drop("probe"))
+        if probes == BLOCKS_ABOVE:
+            open_rows = _open_only(state)
+            grouped = _clusters(open_rows)
+            small = grouped.where(F.col("size") <= CLUSTER)
+            ids, open_rows = _contract(_compare_blocks(small, sets, similarity), ids, open_rows)
+            state = open_rows.join(small.select("id"), "id", "left_anti")
+        probes *= MORE_PROBES
+
+
+def _contract(links: DataFrame, ids: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`ids` (id, root) and `state` (comp) after merging the components that `links` join."""
+    links = stage(links.toDF("a", "b"), "links")
+    if links.isEmpty():
+        return ids, state
+    merged = connected(links).select(F.col("id").alias("comp"), F.col("root").alias("to"))
+    ids = ids.withColumnRenamed("root", "comp").join(merged, "comp", "left")
+    ids = stage(ids.select("id", F.coalesce("to", "comp").alias("root")), "components")
+    return ids, state.join(merged, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+
+
+def _open_only(state: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members lie in several components."""
+    spread = state.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    return stage(state.join(spread.select("key"), "key"), "buckets")
+
+
+def _clusters(state: DataFrame) -> DataFrame:
+    """(id, comp, cluster, size, blocks) of the ids in `state`; ids of one bucket are in one cluster."""
+    first = state.groupBy("key").agg(F.min("id").alias("b"))
+    joined = connected(state.select("key", F.col("id").alias("a")).join(first, "key").select("a", "b"))
+    ids = state.groupBy("id").agg(F.first("comp").alias("comp")).join(joined, "id", "left")
+    ids = stage(ids.select("id", "comp", F.coalesce("root", "id").alias("cluster")), "clusters")
+    size = ids.groupBy("cluster").agg(F.count("*").alias("size"))
+    return ids.join(size, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
 
 
 def near_duplicates(
@@ -217,15 +329,15 @@ def near_duplicates(
     copied = classes.where("copies > 1").select("n_shingles", "fp1", "fp2", "id")
     # Only the representative of a class enters the bands; single texts represent themselves.
     first = linkable.join(copied, ["n_shingles", "fp1", "fp2"], "left").where("id is null or id = doc_id")
-    banded = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    banded = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "bits")
     shared = banded.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-    members = stage(banded.join(shared, "key").distinct(), "members")
+    members = stage(banded.join(shared, "key").dropDuplicates(["key", "id"]), "members")
     active = members.select(F.col("id").alias("doc_id")).distinct()
     if members.select("id").distinct().count() <= BROADCAST_IDS:
         active = F.broadcast(active)
     sets = stage(_set_table(docs.join(active, "doc_id", "left_semi"), width), "sets")
     groups = classes.select("n_shingles", "fp1", "fp2", "id").join(
-        find_components(members, sets, similarity, probes), "id", "left"
+        find_components(members, sets, similarity, probes, 2 * permutations), "id", "left"
     )
     return described.join(groups, ["n_shingles", "fp1", "fp2"], "left").select(
         "doc_id",
