@@ -9,7 +9,6 @@ computed with Cholesky factors made once, and a logistic calibration on a histog
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,26 +106,18 @@ class Discriminant:
 
 
 def _moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class count, sum and cross-products; partitions send one row of fixed size per class."""
+    """Per class count, sum and cross-products: one aggregate with a fixed number of sums."""
     d = len(FEATURES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            x = np.hstack([np.ones((len(b), 1)), np.array(b["x"].tolist()).reshape(-1, d)])
-            y = b["y"].to_numpy()
-            for k in np.unique(y):
-                part = x[y == k]
-                held[int(k)] = held.get(int(k), 0) + part.T @ part
-        if held:
-            yield pd.DataFrame({"y": list(held), "m": [m.ravel() for m in held.values()]})
-
-    sums = rows.mapInPandas(run, "y int, m array<double>").select("y", F.posexplode("m"))
-    out: dict[int, np.ndarray] = {}
-    for r in sums.groupBy("y", "pos").agg(F.sum("col").alias("s")).collect():
-        out.setdefault(r["y"], np.zeros((d + 1) ** 2))[r["pos"]] = r["s"]
-    split = {k: m.reshape(d + 1, d + 1) for k, m in out.items()}
-    return {k: (m[0, 0], m[0, 1:], m[1:, 1:]) for k, m in split.items()}
+    x = [F.get("x", F.lit(i)) for i in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = [F.sum(c) for c in x] + [F.sum(x[i] * x[j]) for i, j in pairs]
+    out = {}
+    for r in rows.groupBy("y").agg(F.count("*"), *sums).collect():
+        cross = np.zeros((d, d))
+        for (i, j), value in zip(pairs, r[2 + d :], strict=True):
+            cross[i, j] = cross[j, i] = value
+        out[r[0]] = (float(r[1]), np.array(r[2 : 2 + d]), cross)
+    return out
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", holdout: tuple[int, int] | None = HOLDOUT) -> Discriminant:
@@ -136,7 +127,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", holdout: tu
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     if holdout:
         marked = marked.where(bucket_of("doc_id", holdout[0]) != holdout[1])
-    rows = stats.join(marked, "doc_id")
+    rows = stage(stats.join(marked, "doc_id").select("y", "x"), "labelled")
     got = _moments(rows)
     d = len(FEATURES)
     empty = (0.0, np.zeros(d), np.zeros((d, d)))
