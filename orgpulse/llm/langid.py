@@ -24,6 +24,7 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 _CLASSES = 128
 _DOCS = 64  # rows of one presence matrix
+_LETTERS = 1 << 18  # characters of one pass
 
 _class_table: list[np.ndarray] = []
 
@@ -79,7 +80,7 @@ class Model:
         if not self.languages:
             return names, scores
         done = 0
-        for part in slices([max(len(v), (1 << 20) // _DOCS) for v in values], 1 << 20):
+        for part in slices([max(len(v), _LETTERS // _DOCS) for v in values], _LETTERS):
             rows, codes, has = gram_codes(values[part])
             margin = kernel(rows, codes, len(has), self.column, self.landmarks) @ self.weights[:-1] + self.weights[-1]
             share = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))

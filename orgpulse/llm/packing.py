@@ -9,8 +9,11 @@ that holds the rank; sequence and offset follow by arithmetic.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,16 +35,21 @@ class Encoder:
     """Token ids of whole texts as the tokenizer file gives them, without added special tokens."""
 
     def __init__(self, path: str, ranks_path: str | None) -> None:
-        import re
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
+        self.path = path
+        self.plain = re.compile(_PLAIN)
+        self.fast = _rank_encoder(ranks_path) if ranks_path else None
 
+    @cached_property
+    def full(self):
+        """The tokenizer library's own; loaded at the first text that needs it, as it takes 100 MB."""
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.plain = re.compile(_PLAIN)
-        self.fast = _rank_encoder(ranks_path) if ranks_path else None
+        loaded = Tokenizer.from_file(self.path)
+        loaded.no_truncation()
+        loaded.no_padding()
+        return loaded
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and self.plain.fullmatch(text) and not any(s in text for s in self.special):
