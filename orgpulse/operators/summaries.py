@@ -48,9 +48,18 @@ def _yes(df: DataFrame, name: str) -> Column:
 # ---- status and maturity ----------------------------------------------------------------------
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def _if_present(df: DataFrame, *names: str) -> DataFrame:
+    """`df`, or none of its rows where it has no such column: a summary of an absent column is empty."""
+    return df if any(n in df.columns for n in names) else df.where(F.lit(False))
+
+
 def report_status(df: DataFrame) -> DataFrame:
-    status = F.coalesce(C.clean_text(F.col("report_status")), F.lit(NOT_STATED))
-    counts = df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("orgs"))
+    status = F.coalesce(C.clean_text(_text(df, "report_status")), F.lit(NOT_STATED))
+    counts = _if_present(df, "report_status").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("orgs"))
     return _with_percent(counts, df, "percent").orderBy(F.desc("orgs"), "status")
 
 
@@ -91,7 +100,7 @@ def basic_package(df: DataFrame) -> DataFrame:
         "denominator",
         _share(F.col("value"), F.col("denominator")).alias("percent"),
         F.lit(", ".join(names)).alias("included_elements"),
-    )
+    ).where(F.lit(bool(names)))
 
 
 def form_flags(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
@@ -138,7 +147,7 @@ def form_activity(df: DataFrame) -> DataFrame:
 
 def _classified(df: DataFrame, column: str, classify) -> DataFrame:
     base = filled_only(df)
-    counts = base.groupBy(classify(F.col(column)).alias("category")).agg(F.count(F.lit(1)).alias("orgs"))
+    counts = _if_present(base, column).groupBy(classify(_text(base, column)).alias("category")).agg(F.count(F.lit(1)).alias("orgs"))
     return _with_percent(counts, base, "percent_filled").orderBy(F.desc("orgs"), "category")
 
 
@@ -279,9 +288,12 @@ def _double_risk() -> Column:
 def overview(df: DataFrame) -> DataFrame:
     """Key figures; counts over filled rows are conditional, so the report is read once."""
     filled = F.coalesce(F.col("is_report_filled"), F.lit(True)) if "is_report_filled" in df.columns else F.lit(True)
-    whole, _ = _has_basic_package(df)
-    risk = C.risk_methodology_class(F.col("risk_methodology")) == C.RISK_FULL
-    review = C.effectiveness_class(F.col("effectiveness_review")) == C.REVIEW_REGULAR
+    whole, names = _has_basic_package(df)
+    risk = C.risk_methodology_class(_text(df, "risk_methodology")) == C.RISK_FULL
+    review = C.effectiveness_class(_text(df, "effectiveness_review")) == C.REVIEW_REGULAR
+
+    def known(present: bool, value: Column) -> Column:
+        return F.when(F.lit(present), value)
 
     def filled_sum(name: str) -> Column:
         return F.coalesce(F.sum(F.when(filled, _number(df, name))), F.lit(0.0))
@@ -290,9 +302,9 @@ def overview(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(filled).alias("filled"),
         F.count_if(filled & (C.flag_or_zero(df, "svk_organized") == 1)).alias("organised"),
-        F.count_if(filled & whole).alias("package"),
-        F.count_if(filled & risk).alias("risk"),
-        F.count_if(filled & review).alias("review"),
+        known(bool(names), F.count_if(filled & whole)).alias("package"),
+        known("risk_methodology" in df.columns, F.count_if(filled & risk)).alias("risk"),
+        known("effectiveness_review" in df.columns, F.count_if(filled & review)).alias("review"),
         filled_sum("violations_total").alias("bad"),
         filled_sum("violations_fixed_on_time").alias("fixed"),
         F.avg("coverage_share_active").alias("coverage"),
@@ -391,7 +403,8 @@ def risk_groups(df: DataFrame) -> DataFrame:
 def by_dimension(df: DataFrame, dimension: str) -> DataFrame:
     counted = "org_name" if "org_name" in df.columns else "risk_group"
     return (
-        df.groupBy(dimension)
+        _if_present(df, dimension)
+        .groupBy(_text(df, dimension).alias(dimension))
         .agg(
             F.count(counted).alias("orgs"),
             F.avg("coverage_share_active").alias("avg_coverage"),

@@ -1,7 +1,8 @@
 """DuckDB counterparts of the registered queries, written in the naive single-node form.
 
-They share no code with the operators: ranks are plain windows, quantiles are `quantile_cont`,
-nearest peers come from the full distance table.
+They compute on their own: ranks are plain windows, quantiles are `quantile_cont`, nearest peers come
+from the full distance table. Constants (labels, flag texts, thresholds, the report SQL) are imported
+from the package; tests pin those with literals.
 """
 
 from __future__ import annotations
@@ -271,6 +272,7 @@ head AS (SELECT source, coalesce(min(n) FILTER (WHERE hits >= 2 AND n < 30), 0)
 found AS (SELECT s.source, s.n AS header_row, s.hits AS markers, s.hits >= 2 AS accepted, s.pos AS at
   FROM scan s JOIN head h ON h.source = s.source AND h.n = s.n)"""
 ORACLES["header_detect"] = f"WITH {_sheet} SELECT source, header_row, markers, accepted FROM found"
+ORACLES["rejected_sources"] = f"WITH {_sheet} SELECT source, markers FROM found WHERE NOT accepted"
 ORACLES["canonical_frame"] = (
     f"WITH {_sheet} SELECT s.source, s.pos, s.b AS org_name, s.c AS report_status, s.d AS cash_receipts"
     " FROM sheet s JOIN found f ON f.source = s.source AND f.accepted AND s.pos > f.at"

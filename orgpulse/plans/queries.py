@@ -18,7 +18,7 @@ from orgpulse.functions.labels import relabel
 from orgpulse.functions.ranking import average_rank_percentile
 from orgpulse.operators import flags, neighbours, proportionality, scale_profile, scoring, selection, summaries
 from orgpulse.plans import raw
-from orgpulse.plans.fixture import CONFIG, enriched, report
+from orgpulse.plans.fixture import CONFIG, enriched, inputs, report
 from orgpulse.sources import schema, sheets
 from orgpulse.staging import staged_once
 
@@ -78,12 +78,12 @@ def present_metrics(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged_once(spark, sf_dir, "cloud-peers", lambda: neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG))
+    return staged_once(spark, sf_dir, "cloud-peers", lambda: neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG), inputs(sf_dir))
 
 
 def proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged_once(
-        spark, sf_dir, "proportions", lambda: proportionality.proportionality(enriched(spark, sf_dir), CONFIG)
+        spark, sf_dir, "proportions", lambda: proportionality.proportionality(enriched(spark, sf_dir), CONFIG), inputs(sf_dir)
     )
 
 
@@ -114,10 +114,15 @@ def unresolved_columns(spark, sf_dir):
 def canonical_frame(spark, sf_dir):
     sheet = raw.sheets(spark, sf_dir)
     headers = sheets.detect_headers(sheet, ["pos"])
-    rows = sheets.data_rows(sheet, headers, ["pos"])
+    rows = sheets.data_rows(sheet, headers, ["pos"], on_rejected="skip")
     return schema.canonical_rows(rows, headers, keep=["pos"])
 
 
+@query
+def rejected_sources(spark, sf_dir):
+    return sheets.rejected_sources(sheets.detect_headers(raw.sheets(spark, sf_dir), ["pos"])).select("source", "markers")
+
+
 # ---- cleaning ---------------------------------------------------------------------------------
 
 

@@ -14,17 +14,27 @@ from pyspark.sql import types as T
 
 from orgpulse.config import HEADER_MARKERS
 
+# Defaults of header detection: leading rows that are searched, and markers that make a header.
 SCAN_ROWS = 30
 MIN_MARKERS = 2
-MAX_CELLS = 128
 # Up to this many files their header positions are broadcast (a few dozen bytes each).
 BROADCAST_SOURCES = 100_000
 
 
-def read_sheets(spark: SparkSession, path: str, cells: int = MAX_CELLS, **options: str) -> DataFrame:
-    """Delimited files without assuming where the header is. Rows of a file are ordered by the start
-    of their split and their place in it, so large files stay splittable. Stage the result: the place
-    is only comparable within one scan, and every later step reads the rows again."""
+def sheet_width(spark: SparkSession, path: str, sep: str = ",") -> int:
+    """Cells of the widest row at most: one more than the separators of any line."""
+    line = F.col("value")
+    seps = (F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))) / len(sep)
+    return int(spark.read.text(path).agg(F.max(seps)).first()[0] or 0) + 1
+
+
+def read_sheets(spark: SparkSession, path: str, cells: int | None = None, **options: str) -> DataFrame:
+    """Delimited files without assuming where the header is; all rows get as many cells as the widest
+    has (`cells` overrides that). Rows of a file are ordered by the start of their split and their place
+    in it, so large files stay splittable. Stage the result: the place is only comparable within one
+    scan, and every later step reads the rows again."""
+    if cells is None:
+        cells = sheet_width(spark, path, options.get("sep", ","))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(cells)])
     raw = spark.read.schema(schema).options(header="false", mode="PERMISSIVE", **options).csv(path)
     return raw.select(
@@ -65,14 +75,16 @@ def marker_hits(cells: Column) -> Column:
     return sum(hits[1:], hits[0])
 
 
-def detect_headers(sheets: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Per source the header row: the first of its leading rows with enough markers, else its first
-    row. `accepted` is false when even that row has too few markers."""
+def detect_headers(
+    sheets: DataFrame, order: Sequence[str], scan_rows: int = SCAN_ROWS, min_markers: int = MIN_MARKERS
+) -> DataFrame:
+    """Per source the header row: the first of its `scan_rows` leading rows with at least `min_markers`
+    markers, else its first row. `accepted` is false when even that row has too few markers."""
     position = Window.partitionBy("source").orderBy(*order)
     # The row limit is applied before the shuffle, so a source of any size sends only its first rows.
-    head = sheets.withColumn("n", F.row_number().over(position)).where(F.col("n") <= SCAN_ROWS)
+    head = sheets.withColumn("n", F.row_number().over(position)).where(F.col("n") <= scan_rows)
     row = F.struct("n", marker_hits(F.col("cells")).alias("hits"), F.struct(*order).alias("at"), "cells")
-    ok = marker_hits(F.col("cells")) >= MIN_MARKERS
+    ok = marker_hits(F.col("cells")) >= min_markers
     return (
         head.groupBy("source")
         .agg(F.coalesce(F.min_by(row, F.when(ok, F.col("n"))), F.min_by(row, "n")).alias("r"))
@@ -80,7 +92,7 @@ def detect_headers(sheets: DataFrame, order: Sequence[str]) -> DataFrame:
             "source",
             (F.col("r.n") - 1).alias("header_row"),
             F.col("r.hits").alias("markers"),
-            (F.col("r.hits") >= MIN_MARKERS).alias("accepted"),
+            (F.col("r.hits") >= min_markers).alias("accepted"),
             F.col("r.at").alias("header_at"),
             F.col("r.cells").alias("headers"),
         )
@@ -94,7 +106,19 @@ def broadcast_if_few(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if few else per_source
 
 
-def data_rows(sheets: DataFrame, headers: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows below the header of every accepted source; rejected sources are left out."""
+def rejected_sources(headers: DataFrame) -> DataFrame:
+    """The sources whose header was not recognised, with the markers of their best row."""
+    return headers.where("not accepted")
+
+
+def data_rows(sheets: DataFrame, headers: DataFrame, order: Sequence[str], on_rejected: str = "raise") -> DataFrame:
+    """Rows below the header of every accepted source. A source without a recognised header is an error
+    that names it, unless `on_rejected` is "skip"; `rejected_sources` lists those."""
+    if on_rejected == "raise":
+        bad = [r["source"] for r in rejected_sources(headers).select("source").orderBy("source").limit(20).collect()]
+        if bad:
+            raise ValueError(f"no header row found in {', '.join(bad)}")
+    elif on_rejected != "skip":
+        raise ValueError('on_rejected is "raise" or "skip"')
     at = broadcast_if_few(headers.where("accepted").select("source", "header_at"))
     return sheets.join(at, "source").where(F.struct(*order) > F.col("header_at")).drop("header_at")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orgpulse.config import REPORT_COLUMNS, ScoringConfig
 from orgpulse.operators import scoring, selection, summaries
 from orgpulse.sources import schema, sheets, sinks
-from orgpulse.staging import stage
+from orgpulse.staging import stage, staged_once
 
 CFG = ScoringConfig()
 NBSP = " "
@@ -64,9 +64,9 @@ def test_counts(enriched):
     # only the one element that exists is part of the package
     package = summaries.basic_package(enriched).first()
     assert package["value"] == 54 and package["included_elements"] == "plan_schedule"
-    over = {r["metric"]: r["value"] for r in summaries.overview(enriched.withColumns({"risk_methodology": F.lit(None).cast("string"), "effectiveness_review": F.lit("-")})).collect()}
+    over = {r["metric"]: r["value"] for r in summaries.overview(enriched).collect()}
     assert over["Организаций в отчете"] == 60 and over["Заполненных отчетов"] == 54
-    assert over["% заполненных отчетов"] == 90.0 and over["Организаций с полноценной методикой оценки рисков"] == 0
+    assert over["% заполненных отчетов"] == 90.0 and over["Организаций с полноценной методикой оценки рисков"] is None
     total = sum(r["orgs"] for r in summaries.risk_groups(enriched).collect())
     assert total == 60
     long = summaries.directions_long(summaries.directions(enriched, CFG))
@@ -126,13 +126,16 @@ def folder(tmp_path_factory):
 
 
 def test_sheets_to_report(spark, folder):
-    raw = stage(sheets.read_sheets(spark, str(folder), cells=6, sep=";"), "sheets")
+    raw = stage(sheets.read_sheets(spark, str(folder), sep=";"), "sheets")
     headers = sheets.detect_headers(raw, ["block", "row"])
     got = {r["source"][-5:]: (r["header_row"], r["markers"], r["accepted"]) for r in headers.collect()}
     # an empty line is not a row of a delimited file; ";;" is
     assert got["a.csv"][1:] == (2, True) or got["a.csv"][1:] == (3, True)
     assert got["a.csv"][0] == 2 and got["b.csv"] == (0, 3, True) and got["c.csv"][2] is False
-    rows = sheets.data_rows(raw, headers, ["block", "row"])
+    with pytest.raises(ValueError, match="c.csv"):
+        sheets.data_rows(raw, headers, ["block", "row"])
+    assert [r["source"][-5:] for r in sheets.rejected_sources(headers).collect()] == ["c.csv"]
+    rows = sheets.data_rows(raw, headers, ["block", "row"], on_rejected="skip")
     report = schema.canonical_rows(schema.with_org_id(rows, ["block", "row"]), headers, keep=["org_id"])
     assert set(report.columns) == {"source", "org_id", "org_name", "org_type", "report_status", "staff_avg"}
     out = {r["org_name"]: r for r in report.collect()}
@@ -142,6 +145,39 @@ def test_sheets_to_report(spark, folder):
     assert scored["Вуз"]["staff_avg"] == 1000.5 and scored["Музей"]["risk_group"].startswith("E")
 
 
+def test_wide_sheet(spark, tmp_path):
+    head = ";".join([f"колонка {i}" for i in range(298)] + ["Наименование организации", "Среднесписочная численность"])
+    (tmp_path / "wide.csv").write_text(head + "\n" + ";".join(["x"] * 299 + ["7"]) + "\n", encoding="utf-8")
+    raw = stage(sheets.read_sheets(spark, str(tmp_path), sep=";"), "wide")
+    headers = sheets.detect_headers(raw, ["block", "row"], min_markers=1)
+    rows = sheets.data_rows(raw, headers, ["block", "row"], on_rejected="skip")
+    report = schema.canonical_rows(rows, headers, keep=[])
+    assert [r["staff_avg"] for r in report.collect()] == ["7"]
+
+
+def test_absent_columns(spark, enriched):
+    gone = ["report_status", "risk_methodology", "effectiveness_review", "federal_district", *summaries.BASIC_ELEMENTS]
+    sparse = enriched.drop(*gone)
+    for table in (
+        summaries.report_status(sparse),
+        summaries.basic_package(sparse),
+        summaries.risk_methodology(sparse),
+        summaries.effectiveness(sparse),
+        summaries.by_dimension(sparse, "federal_district"),
+    ):
+        assert table.count() == 0
+    assert summaries.overview(sparse).count() == summaries.overview(enriched).count()
+
+
+def test_staged_tables_follow_their_inputs(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    first = staged_once(spark, path, "t", lambda: spark.read.parquet(path), [path])
+    assert staged_once(spark, path, "t", lambda: spark.read.parquet(path), [path]) is first
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert staged_once(spark, path, "t", lambda: spark.read.parquet(path), [path]).count() == 5
+
+
 def test_newest_file(spark, folder):
     assert sheets.newest_file(spark, str(folder)).endswith("a.csv")
     assert sheets.newest_file(spark, str(folder), "*.json") is None
@@ -161,12 +197,12 @@ def test_resolution_order(spark):
 
 
 def test_write_tables(spark, enriched, tmp_path):
-    short = sinks.short_tables(enriched.withColumns({"risk_methodology": F.lit("план"), "effectiveness_review": F.lit("-"), "improvement_actions": F.lit("-"), "org_type": F.lit("x")}), CFG)
+    short = sinks.short_tables(enriched, CFG)
     assert len(short) == 7
     paths = sinks.write_tables({k: v for k, v in short.items() if k in ("risk_groups", "direction_summary")}, str(tmp_path), "csv")
     back = spark.read.option("header", True).csv(paths["risk_groups"])
     assert sum(int(r["orgs"]) for r in back.collect()) == 60
-    full = sinks.bundle_tables(enriched.withColumns({"risk_methodology": F.lit("план"), "effectiveness_review": F.lit("-"), "improvement_actions": F.lit("-"), "org_type": F.lit("x")}), CFG)
+    full = sinks.bundle_tables(enriched, CFG)
     assert len(full) == 21
     path = sinks.write_table(full["cloud_peer_3d"], str(tmp_path / "peers"), "csv")
     assert "neighbors" not in spark.read.option("header", True).csv(path).columns
