@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -108,6 +109,15 @@ def lookup_by_value(rows: DataFrame, table: DataFrame, on: Sequence[str], hot: C
     return rows.join(hot_rows, list(on)).unionByName(cold)
 
 
+def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
+    """Fail where rows share a key or lack one: results that are joined back by key would be wrong."""
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    bad = df.groupBy(*keys).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | missing).take(5)
+    if bad:
+        shown = "; ".join(", ".join(f"{k}={r[k]}" for k in keys) for r in bad)
+        raise ValueError(f"rows need a key of their own, repeated or null: {shown}")
+
+
 def average_rank_percentile(
     df: DataFrame,
     keys: Sequence[str],

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.config import AXES, AXIS_LABELS, AXIS_RATIOS, CHI2_3_P99, ROBUST_Z_LIMIT, ScoringConfig
 from orgpulse.functions import cleaning as C
-from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile
+from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile, require_unique
 from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles
 from orgpulse.operators.flags import join_texts
 from orgpulse.operators.scoring import percentile_level, positive
@@ -142,7 +142,10 @@ def proportionality(
     range_rows: int = RANGE_ROWS,
     bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
-    """One row per filled report: scale, outlier distance, unit ratios, reasons and score."""
+    """One row per filled report: scale, outlier distance, unit ratios, reasons and score.
+
+    Fails where filled rows repeat a key or have none."""
+    require_unique(axis_rows(df, keys), keys)
     rows = stage(with_scale_score(axis_rows(df, keys), keys, range_rows), "scale-score")
     leveled = with_scale_level(rows, cfg, bracket_rows)
     distance = mahalanobis_squared(rows)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.config import OTHER_ORG_TYPE, RISK_GROUPS, ScoringConfig
 from orgpulse.functions import cleaning as C
-from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile
+from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile, require_unique
 from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles_and_cuts
 from orgpulse.operators import flags
 
@@ -320,8 +320,11 @@ def enrich(
     """Full enrichment of one year's report.
 
     `keys` identify an organisation row. `scores=False` leaves out the raw percentile scores and
-    with them the only shuffle of the report.
+    with them the only shuffle of the report; with scores, rows that repeat a key or have none are an
+    error.
     """
+    if scores:
+        require_unique(df, keys)
     stats = stats or fit(df, cfg)
     present = [m for m in cfg.metrics if m in df.columns]
     if year is not None:

@@ -924,3 +924,7 @@ scored(
     SCALE
     + "SELECT " + ", ".join(f"round(exp(avg(ln(1 + {a}))) - 1, 4) AS typical_{s}" for s, a in (("cash", AXES[0]), ("staff", AXES[1]), ("fkhz", AXES[2]))) + " FROM act",
 )
+
+# The same results through the paths for large reports.
+ORACLES["load_percentile_ranges"] = ORACLES["load_percentile"]
+ORACLES["cloud_peers_boxes"] = ORACLES["cloud_peers"]

@@ -241,6 +241,13 @@ def load_percentile(spark, sf_dir):
     return rounded(average_rank_percentile(prepared(spark, sf_dir), ["org_id"], columns), 10, "pct")
 
 
+@query
+def load_percentile_ranges(spark, sf_dir):
+    """The same through many small value ranges, as for reports of millions of rows."""
+    columns = {m: scoring.positive(m) for m in present_metrics(spark, sf_dir)}
+    return rounded(average_rank_percentile(prepared(spark, sf_dir), ["org_id"], columns, range_rows=200), 10, "pct")
+
+
 @query
 def load_level(spark, sf_dir):
     df = prepared(spark, sf_dir)
@@ -574,6 +581,12 @@ def cloud_peers(spark, sf_dir):
     return neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG).drop("neighbors")
 
 
+@query
+def cloud_peers_boxes(spark, sf_dir):
+    """The same through many small boxes, as for clouds of millions of locations."""
+    return neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG, box_rows=64, range_rows=200).drop("neighbors")
+
+
 @query
 def cloud_priority(spark, sf_dir):
     return neighbours.priority(peers(spark, sf_dir))

@@ -45,8 +45,11 @@ def read_sheets(spark: SparkSession, path: str, cells: int | None = None, **opti
     )
 
 
-def newest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str | None:
-    """Path of the most recently modified file; only the listing is read, not the contents."""
+def newest_file(spark: SparkSession, folder: str, pattern: str | Sequence[str] = "*.csv") -> str | None:
+    """Path of the most recently modified file of one or several patterns; only the listing is read,
+    not the contents."""
+    if not isinstance(pattern, str):
+        pattern = "{" + ",".join(pattern) + "}"
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)

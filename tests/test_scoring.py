@@ -150,3 +150,10 @@ def test_scalable_cuts_equal_naive_levels(spark):
     assert (out["fhd_load_score"] == naive).all()
     want = naive.map(lambda p: 0 if p <= 0 else 1 if p <= 0.75 else 2 if p <= 0.9 else 3 if p <= 0.95 else 4)
     assert (out["fhd_load_level"] == want).all()
+
+
+def test_repeated_and_null_keys_are_refused(spark):
+    for ids in ([1, 1], [1, None]):
+        df = spark.createDataFrame([(i, "o", 1.0) for i in ids], "org_id long, org_name string, staff_avg double")
+        with pytest.raises(ValueError, match="key of their own"):
+            scoring.enrich(df, ScoringConfig())
