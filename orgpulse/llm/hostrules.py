@@ -17,6 +17,7 @@ MIN_WORDS = 50
 REPEATED_PERCENT = 50
 SYMBOL_PERCENT = 30  # symbols per characters of words
 DUPLICATE_LINE_PERCENT = 50
+HOT_SHARE = 1_000  # a host with at least a thousandth of the rows is hot; there are at most a thousand
 HOST_LIMIT = 0.6  # a host with a higher shrunk failure rate is refused
 MIN_HOSTS = 3  # with fewer hosts a prior cannot be estimated; a weak uniform one is used
 _SPACE = r"[ \t-\r]+"
@@ -128,6 +129,19 @@ def host_verdicts(docs: DataFrame, names: list[str], limit: float) -> DataFrame:
     return judged.withColumn("refused", F.greatest(*[F.col(f"{r}_rate") for r in names], F.lit(0.0)) > limit)
 
 
+def with_verdicts(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`found` with the column `refused` of its `host`. Rows of hot hosts, whose number is bounded by
+    their share, are looked up in place; only the rows of all other hosts are shuffled by host."""
+    total = found.count()
+    hosts = verdicts.select(F.col("host").alias("_host"), "n_docs", "refused")
+    is_hot = F.col("n_docs") * HOT_SHARE >= total
+    hot, others = hosts.where(is_hot).drop("n_docs"), hosts.where(~is_hot).drop("n_docs")
+    same = F.col("host").eqNullSafe(F.col("_host"))
+    common = found.join(F.broadcast(hot), same)
+    rest = found.join(F.broadcast(hot.select("_host")), same, "left_anti").join(others, same)
+    return common.unionByName(rest).drop("_host")
+
+
 def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """Per row of `docs` (doc_id, text, `host`): the measures, base_failed, host_refused, kept.
 
@@ -135,9 +149,7 @@ def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     their own. Repeated rows count each. An empty table gives an empty result."""
     found = stage(measured(docs, host).withColumns(rules()), "measures")
     names = list(rules())
-    verdicts = host_verdicts(found, names, limit)
-    hosts = verdicts.select(F.col("host").alias("_host"), "refused")
-    joined = found.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    joined = with_verdicts(found, host_verdicts(found, names, limit))
     failed = F.col("short") | F.col("repeated")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
