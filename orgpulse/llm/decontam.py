@@ -1,6 +1,6 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised words of the test items form one automaton (in several shards if they are many). Each
+The normalised words of the test items form one automaton (in several blocks if they are many). Each
 document's words are streamed through it; the state and the longest matching length after every word
 say which item windows end there. Words inside a window of `window` item words, or inside a whole
 shorter item, are hit; documents whose hit share reaches the coverage limit are contaminated.
@@ -8,21 +8,24 @@ shorter item, are hit; documents whose hit share reaches the coverage limit are
 
 from __future__ import annotations
 
-import hashlib
 import pickle
+import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgpulse.llm.common import bounded_batches, free_name, per_text
+from orgpulse.staging import stage
 
 WINDOW = 13
 COVERAGE = 20  # contaminated: COVERAGE * hit words >= words
-# Words of one automaton; it takes roughly 300 bytes a word. More items make more automata, which
-# tasks use one after the other, so memory does not grow with the benchmark.
-SHARD_WORDS = 250_000
+# Bytes of item texts in one automaton, about 50 bytes of memory each. A larger benchmark is matched in
+# several passes, each with one block of items, so that neither memory nor broadcasts grow with it.
+BLOCK_BYTES = 2 << 20
 
 # Digits, A-Z (as a-z), a-z and every byte of a non-ASCII character belong to words.
 _WORD = bytes(
@@ -126,27 +129,84 @@ class SuffixAutomaton:
         return numbers
 
 
-def shards_of(benchmark: DataFrame, window: int, shard_words: int) -> list[bytes]:
-    """Pickled groups of items (id, words) of a benchmark, which is read one partition at a time."""
-    shards: list[bytes] = []
-    held: list[tuple[int, list[bytes]]] = []
-    total = 0
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        words = words_of(row["text"])
-        if not words:
-            continue
-        if held and total + len(words) > shard_words:
-            shards.append(pickle.dumps(held))
-            held, total = [], 0
-        held.append((row["item_id"], words))
-        total += len(words)
-    if held:
-        shards.append(pickle.dumps(held))
-    return shards
+def _blocks_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items with a block number, and the number of blocks. A block holds about `block_bytes` of text."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+
+
+def _held(items: DataFrame) -> bytes:
+    """The items of one block, (id, words) each; items without words are left out."""
+    rows = [(r["item_id"], words_of(r["text"])) for r in items.collect()]
+    return pickle.dumps([(number, words) for number, words in rows if words])
+
+
+_loaded: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(name: str, held: bytes, window: int) -> SuffixAutomaton:
+    """The automaton of a block; a Python worker keeps the last one."""
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = SuffixAutomaton(pickle.loads(held), window)
+    return _loaded[name]
+
+
+def _matches(spark: SparkSession, items: DataFrame, window: int) -> tuple[Column, Broadcast]:
+    """A struct of a text's n_words, items and hit runs against the items of one block."""
+    shared = spark.sparkContext.broadcast(_held(items))
+    name = uuid.uuid4().hex
+
+    def run(values: list[str]) -> pd.DataFrame:
+        automaton = _automaton(name, shared.value, window)
+        out = []
+        for text in values:
+            words = words_of(text)
+            hit = np.zeros(len(words), bool)
+            numbers = automaton.match(words, hit)
+            out.append((len(words), sorted(x for x in numbers if x is not None), _runs(hit)))
+        return pd.DataFrame(out, columns=["n_words", "items", "spans"])
+
+    return per_text(run, f"n_words long, items array<long>, spans {_SPANS}"), shared
+
+
+_SPANS = "array<struct<first: long, end: long>>"
+
+
+def _runs(hit: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+    return [{"first": int(a), "end": int(b)} for a, b in edges]
+
+
+def _verdict(found: Column, coverage: int) -> Column:
+    n_hit = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return F.struct(
+        found["n_words"].alias("n_words"),
+        n_hit.alias("n_hit"),
+        found["items"].alias("items"),
+        ((n_hit > 0) & (n_hit * coverage >= found["n_words"])).alias("contaminated"),
+        found["spans"].alias("spans"),
+    )
+
+
+def _joined_runs(spans: Column) -> Column:
+    """Overlapping and touching runs of several blocks as one each, in order."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["first"]), grown).otherwise(
+            F.concat(done, F.array(s))
+        )
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, shard_words: int = SHARD_WORDS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """`docs` (a `text` column, any others) with a struct column `found`: n_words, n_hit, items
     (distinct ids, ascending), contaminated, spans (first word, end word) of the hit runs.
@@ -156,37 +216,42 @@ def contamination(
     (their words are hit) but not listed. A clash with a column `found` is avoided by underscores."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = [spark.sparkContext.broadcast(s) for s in shards_of(benchmark, window, shard_words)]
-    loaded: dict[int, SuffixAutomaton] = {}
-
-    def shard(k: int) -> SuffixAutomaton:
-        if k not in loaded:
-            loaded.clear()
-            loaded[k] = SuffixAutomaton(pickle.loads(shards[k].value), window)
-        return loaded[k]
-
-    def run(values: list[str]) -> pd.DataFrame:
-        words = [words_of(t) for t in values]
-        hits = [np.zeros(len(w), bool) for w in words]
-        items: list[set] = [set() for _ in words]
-        for k in range(len(shards)):
-            automaton = shard(k)
-            for w, h, i in zip(words, hits, items, strict=True):
-                i |= automaton.match(w, h)
-        edges = [np.flatnonzero(np.diff(np.concatenate([[0], h.view(np.int8), [0]]))).reshape(-1, 2) for h in hits]
-        n_hit = [int(h.sum()) for h in hits]
-        return pd.DataFrame(
-            {
-                "n_words": [len(w) for w in words],
-                "n_hit": n_hit,
-                "items": pd.Series([sorted(x for x in i if x is not None) for i in items], dtype=object),
-                "contaminated": [n > 0 and coverage * n >= len(w) for n, w in zip(n_hit, words, strict=True)],
-                "spans": pd.Series([[{"first": int(a), "end": int(b)} for a, b in e] for e in edges], dtype=object),
-            }
+    name = free_name(docs, "found")
+    items, blocks = _blocks_of(benchmark, block_bytes)
+    if blocks == 1:
+        found, _ = _matches(spark, items, window)
+        return docs.withColumn(name, found).withColumn(name, _verdict(F.col(name), coverage))
+    # One pass over the documents for each block; only one block is broadcast at a time.
+    items = stage(items.sort("block"), "items")
+    row = free_name(docs, "row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    passes = []
+    for k in range(blocks):
+        found, shared = _matches(spark, items.where(F.col("block") == k), window)
+        hits = rows.select(row, found.alias("m")).select(row, "m.items", "m.spans").where(F.size("spans") > 0)
+        passes.append(stage(hits, "hits"))
+        shared.destroy()
+    per_row = (
+        reduce(DataFrame.union, passes)
+        .groupBy(row)
+        .agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+        .select(
+            F.col(row).alias("_at"),
+            F.struct(F.array_sort(F.array_distinct("_items")).alias("items"), _joined_runs(F.col("_spans")).alias("spans")).alias("_m"),
         )
+    )
+    merged = rows.withColumn(name, _word_count()).join(per_row, F.col(row) == F.col("_at"), "left")
+    none = F.array()
+    full = F.struct(
+        F.col(name).alias("n_words"),
+        F.coalesce(F.col("_m")["items"], none.cast("array<long>")).alias("items"),
+        F.coalesce(F.col("_m")["spans"], none.cast(_SPANS)).alias("spans"),
+    )
+    return merged.withColumn(name, full).withColumn(name, _verdict(F.col(name), coverage)).select(*docs.columns, name)
 
-    schema = "n_words long, n_hit long, items array<long>, contaminated boolean, spans array<struct<first: long, end: long>>"
-    return docs.withColumn(free_name(docs, "found"), per_text(run, schema))
+
+def _word_count() -> Column:
+    return per_text(lambda values: pd.Series([len(words_of(t)) for t in values], dtype="int64"), "long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
@@ -215,7 +280,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> Data
     rest = marked.where(f"not {found}.contaminated")
     text = F.when(F.col(f"{found}.n_hit") > 0, cut("text", f"{found}.spans")).otherwise(F.col("text"))
     return rest.withColumn("text", text).drop(found)
-
-
-def items_digest(items: pd.Series) -> pd.Series:
-    return items.map(lambda x: hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest())
