@@ -30,7 +30,7 @@ from orgpulse.staging import stage
 
 PERMUTATIONS = 64
 ROWS = 4
-WIDTH = 2
+WIDTH = 5
 SIMILARITY = (80, 100)
 FIRST_PROBES = 1
 MORE_PROBES = 8  # times as many in each further round

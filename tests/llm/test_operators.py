@@ -42,13 +42,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def shingles(text):
+def shingles(text, width):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(docs, empty, spark):
-    sets = {r[0]: shingles(r[1]) for r in rows() if r[0] is not None}
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, empty, spark, width):
+    sets = {r[0]: shingles(r[1], width) for r in rows() if r[0] is not None}
     root = {i: i for i in sets}
 
     def find(x):
@@ -63,13 +64,13 @@ def test_near_duplicates(docs, empty, spark):
             if shared and 100 * shared >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for r in neardup.near_duplicates(docs).collect():
+    for r in neardup.near_duplicates(docs, width).collect():
         if r["doc_id"] is not None:
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
             assert r["kept"] == (r["doc_id"] == r["component_id"])
         else:
             assert r["component_id"] is None and r["kept"]
-    kept = neardup.keep_one_of_each(docs)
+    kept = neardup.keep_one_of_each(docs, width=width)
     assert kept.columns == docs.columns and kept.count() < docs.count()
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -109,8 +110,8 @@ def test_decontamination(docs, empty, spark):
                     hit |= set(range(k, k + m))
         return len(d), len(hit), sorted(found)
 
-    for size in (250_000, 3):  # one automaton, and several
-        marked = decontam.contamination(docs, bench, window=4, shard_words=size)
+    for size in (2 << 20, 30):  # one automaton, and several
+        marked = decontam.contamination(docs, bench, window=4, block_bytes=size)
         assert marked.columns[-1] == "_found"
         for r in marked.collect():
             f = r["_found"]
@@ -181,6 +182,17 @@ def test_host_rules(docs, empty):
     assert hostrules.host_rules(empty).count() == 0
 
 
+def test_hot_and_other_hosts_get_the_same_verdicts(docs, monkeypatch):
+    def verdicts():
+        return Counter((r["doc_id"], r["host_refused"], r["kept"]) for r in hostrules.host_rules(docs, limit=0.3).collect())
+
+    whole = verdicts()
+    assert sum(whole.values()) == docs.count() and len({k[1] for k in whole}) == 2
+    for share in (0, 2, 10**9):  # no host hot, some, all
+        monkeypatch.setattr(hostrules, "HOT_SHARE", share)
+        assert verdicts() == whole
+
+
 def base_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
