@@ -6,7 +6,9 @@ patterns) is data here; operators take a :class:`ScoringConfig` and never read m
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass, field, fields, replace
 
 # ---- fixed values: level and form names -------------------------------------------------------
 
@@ -176,6 +178,26 @@ class ScoringConfig:
             self, ceilings=tuple(replace(c, limit=limits.get(c.column, c.limit)) for c in self.ceilings)
         )
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False, indent=2)
+
+    @classmethod
+    def from_json(cls, text: str) -> "ScoringConfig":
+        """Settings from a JSON object; what it leaves out keeps its default, unknown names are an error."""
+        given = json.loads(text)
+        unknown = given.keys() - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        parts = {"forms": Form, "directions": Direction, "ceilings": Ceiling}
+        for name, kind in parts.items():
+            if name in given:
+                given[name] = tuple(kind(**_tupled(x)) for x in given[name])
+        return cls(**_tupled(given))
+
+
+def _tupled(values: dict) -> dict:
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+
 
 @dataclass(frozen=True)
 class ReportColumn:
@@ -186,6 +208,15 @@ class ReportColumn:
     patterns: tuple[str, ...] = field(default=())
 
 
+def columns_to_json(columns: Iterable[ReportColumn]) -> str:
+    return json.dumps([asdict(c) for c in columns], ensure_ascii=False, indent=2)
+
+
+def columns_from_json(text: str) -> tuple[ReportColumn, ...]:
+    """The column map of a report: canonical names, labels and header patterns in order."""
+    return tuple(ReportColumn(**_tupled(c)) for c in json.loads(text))
+
+
 def _rc(name: str, label: str, *patterns: str) -> ReportColumn:
     return ReportColumn(name, label, patterns)
 

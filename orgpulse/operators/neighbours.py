@@ -422,6 +422,13 @@ def neighbours_of(peers: DataFrame, org, key: str = "org_id") -> DataFrame:
     )
 
 
+def neighbours_of_named(peers: DataFrame, name: str, key: str = "org_id") -> DataFrame:
+    """The neighbour lists of all organisations of this display name, nearest first, with their key."""
+    return peers.where(F.col("org_name") == F.lit(name)).select(key, F.posexplode("neighbors").alias("pos", "n")).select(
+        key, (F.col("pos") + 1).alias("rank"), "n.id", "n.name", "n.dist"
+    )
+
+
 # fixed values: highlight groups
 SELECTED, NEIGHBOUR, OTHER = "Выбранная организация", "Соседи", "Прочие"
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from orgpulse.config import OTHER_ORG_TYPE, RISK_GROUPS, ScoringConfig
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile, require_unique
-from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles_and_cuts
+from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles, quantiles_and_cuts
 from orgpulse.operators import flags
 
 
@@ -96,17 +96,37 @@ def fit_load_cuts(
     return percentile_cuts(prepared, {m: positive(m) for m in present}, cfg.level_cuts, bracket_rows)
 
 
+def _tails(df: DataFrame) -> dict[str, tuple[Column, list[float]]]:
+    """The two columns whose upper quantiles the flags compare with."""
+    ratio = C.safe_ratio(C.number_or_zero(df, "violations_total"), C.number_or_zero(df, "fkhz_count"))
+    return {"staff": (C.number_or_zero(df, "staff_avg"), [0.75]), "ratio": (ratio, [0.99])}
+
+
+def _staff_limit(found: dict[tuple[str, float], float | None]) -> float:
+    value = found[("staff", 0.75)]
+    return 0.0 if value is None else value
+
+
+def _ratio_limit(found: dict[tuple[str, float], float | None]) -> float:
+    value = found[("ratio", 0.99)]
+    return 999.0 if value is None else value
+
+
+def staff_p75(df: DataFrame) -> float:
+    """The staff limit of :func:`fit` alone, from one column."""
+    return _staff_limit(quantiles(df, {"staff": _tails(df)["staff"]}))
+
+
+def violation_ratio_p99(df: DataFrame) -> float:
+    """The ratio limit of :func:`fit` alone, from two columns."""
+    return _ratio_limit(quantiles(df, {"ratio": _tails(df)["ratio"]}))
+
+
 def fit(df: DataFrame, cfg: ScoringConfig, bracket_rows: int = BRACKET_ROWS) -> ReportStats:
     prepared = prepare(df, cfg)
-    ratio = C.safe_ratio(C.number_or_zero(prepared, "violations_total"), C.number_or_zero(prepared, "fkhz_count"))
-    tails, cuts = quantiles_and_cuts(
-        prepared,
-        {"staff": (C.number_or_zero(prepared, "staff_avg"), [0.75]), "ratio": (ratio, [0.99])},
-        {m: (positive(m), cfg.level_cuts) for m in cfg.metrics if m in df.columns},
-        bracket_rows,
-    )
-    staff, tail = tails[("staff", 0.75)], tails[("ratio", 0.99)]
-    return ReportStats(cuts, 0.0 if staff is None else staff, 999.0 if tail is None else tail)
+    wanted = {m: (positive(m), cfg.level_cuts) for m in cfg.metrics if m in df.columns}
+    found, cuts = quantiles_and_cuts(prepared, _tails(prepared), wanted, bracket_rows)
+    return ReportStats(cuts, _staff_limit(found), _ratio_limit(found))
 
 
 # ---- report-relative columns ------------------------------------------------------------------
@@ -341,7 +361,12 @@ def enrich(
 def enrich_years(df: DataFrame, cfg: ScoringConfig, years: Sequence[int], **options) -> DataFrame:
     """Enrich several yearly reports kept in one table partitioned by `analysis_year`.
 
-    Statistics are relative to one year's report, so each year is its own pruned scan.
+    Statistics are relative to one year's report, so each year is its own pruned scan. Rows of a year
+    that `years` does not name, or of none, are an error.
     """
-    parts = [enrich(df.where(F.col("analysis_year") == y), cfg, **options) for y in years]
+    year = F.col("analysis_year")
+    other = df.where(year.isNull() | ~year.isin(list(years))).select("analysis_year").limit(1).collect()
+    if other:
+        raise ValueError(f"rows of the year {other[0][0]}, which is not among {list(years)}")
+    parts = [enrich(df.where(year == y), cfg, **options) for y in years]
     return reduce(lambda a, b: a.unionByName(b), parts)

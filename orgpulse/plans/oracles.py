@@ -928,3 +928,47 @@ scored(
 # The same results through the paths for large reports.
 ORACLES["load_percentile_ranges"] = ORACLES["load_percentile"]
 ORACLES["cloud_peers_boxes"] = ORACLES["cloud_peers"]
+
+# Two yearly reports, each scored by itself.
+_later = ORACLES["enrich"].replace(f"rep AS ({REPORT})", f"rep AS (SELECT * FROM ({REPORT}) WHERE staff_avg IS NOT NULL)", 1)
+ORACLES["enrich_two_years"] = (
+    f"SELECT 2023 AS analysis_year, * FROM ({ORACLES['enrich']}) UNION ALL SELECT 2024 AS analysis_year, * FROM ({_later})"
+)
+
+
+def _counted(tables: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM ({ORACLES[q]})" for n, q in tables.items())
+
+
+_checks = {"contradictions": "contradictions", "anomalies": "anomalies"}
+_short = {
+    "enriched_organizations": "enrich",
+    "direction_summary": "directions",
+    "risk_groups": "risk_groups",
+    "general_statistics": "overview",
+    "data_quality_issues": "quality_issues",
+}
+_bundle = {
+    "overview": "overview",
+    "report_status": "report_status",
+    "svk_elements": "elements",
+    "basic_package": "basic_package",
+    "svk_form_flags": "form_flags",
+    "svk_form_level": "form_levels",
+    "risk_methodology": "risk_methodology",
+    "effectiveness_review": "effectiveness",
+    "improvement_actions": "improvement",
+    "violations": "violations",
+    "normalized_metrics": "normalized",
+    "directions": "directions",
+    "risk_groups": "risk_groups",
+    "quality_issues": "quality_issues",
+    "by_federal_district": "by_district",
+    "by_org_type": "by_org_type",
+    "cloud_peer_3d": "cloud_peers",
+}
+ORACLES["short_counts"] = _counted(_short | _checks)
+ORACLES["bundle_counts"] = (
+    _counted(_bundle | _checks)
+    + f" UNION ALL SELECT 'top_risk_orgs' AS name, least(100, count(*)) AS n_rows FROM ({ORACLES['enrich']})"
+)

@@ -8,6 +8,7 @@ rounded here, at the boundary, so that engines that add in another order agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from orgpulse.functions.ranking import average_rank_percentile
 from orgpulse.operators import flags, neighbours, proportionality, scale_profile, scoring, selection, summaries
 from orgpulse.plans import raw
 from orgpulse.plans.fixture import CONFIG, enriched, inputs, report
-from orgpulse.sources import schema, sheets
+from orgpulse.sources import schema, sheets, sinks
 from orgpulse.staging import staged_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,7 @@ ENRICHED_COLUMNS = (
         "data_quality_flags",
     ]
 )
+ROUNDED_SCORES = ("coverage_share_active", "peer_coverage_median", *[f"{d.key}_load_score" for d in CONFIG.directions])
 
 
 def query(f: Query) -> Query:
@@ -322,8 +324,7 @@ def risk_group(spark, sf_dir):
 @query
 def enrich(spark, sf_dir):
     df = scoring.enrich(report(spark, sf_dir), CONFIG).select(*ENRICHED_COLUMNS)
-    scores = [f"{d.key}_load_score" for d in CONFIG.directions]
-    return rounded(df, 8, "coverage_share_active", "peer_coverage_median", *scores)
+    return rounded(df, 8, *ROUNDED_SCORES)
 
 
 # ---- rule flags -------------------------------------------------------------------------------
@@ -354,13 +355,13 @@ def flag_copypaste(spark, sf_dir):
 @query
 def flag_zero_large(spark, sf_dir):
     df = report(spark, sf_dir)
-    return _nonempty(df, flags.join_texts(flags.zero_large_texts(df, scoring.fit(df, CONFIG).staff_p75)))
+    return _nonempty(df, flags.join_texts(flags.zero_large_texts(df, scoring.staff_p75(df))))
 
 
 @query
 def flag_ratio(spark, sf_dir):
     df = report(spark, sf_dir)
-    return _nonempty(df, flags.join_texts(flags.ratio_texts(df, scoring.fit(df, CONFIG).violation_ratio_p99)))
+    return _nonempty(df, flags.join_texts(flags.ratio_texts(df, scoring.violation_ratio_p99(df))))
 
 
 @query
@@ -369,6 +370,16 @@ def flag_quality(spark, sf_dir):
     return _nonempty(df, flags.quality_flags(df, CONFIG))
 
 
+@query
+def enrich_two_years(spark, sf_dir):
+    """Two reports in one table: the whole one, and a later one of those that state their staff."""
+    df = report(spark, sf_dir)
+    later = df.where("staff_avg is not null").withColumn("analysis_year", F.lit(2024))
+    both = df.withColumn("analysis_year", F.lit(2023)).unionByName(later)
+    scored = scoring.enrich_years(both, CONFIG, [2023, 2024])
+    return rounded(scored.select("analysis_year", *ENRICHED_COLUMNS), 8, *ROUNDED_SCORES)
+
+
 # ---- summaries --------------------------------------------------------------------------------
 
 
@@ -691,3 +702,22 @@ def scale_peak(spark, sf_dir):
 def scale_centre(spark, sf_dir):
     kept, _ = proportionality.split_profile_outliers(enriched(spark, sf_dir))
     return rounded(scale_profile.centre(kept), 4, "typical_cash", "typical_staff", "typical_fkhz")
+
+
+# ---- table sets -------------------------------------------------------------------------------
+
+
+def _counts(tables):
+    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def short_counts(spark, sf_dir):
+    return _counts(sinks.short_tables(enriched(spark, sf_dir), CONFIG))
+
+
+@query
+def bundle_counts(spark, sf_dir):
+    tables = sinks.bundle_tables(enriched(spark, sf_dir), CONFIG)
+    return _counts({n: df for n, df in tables.items() if n != "scale_profile_bins"})  # scale_bins has those

@@ -108,3 +108,12 @@ def test_uses_of_the_benchmark(spark):
     tags = neighbours.highlight(peers, org).toPandas().set_index("org_id")["tag"]
     assert tags[org] == neighbours.SELECTED and (tags[near] == neighbours.NEIGHBOUR).all()
     assert (tags == neighbours.OTHER).sum() == len(pdf) - 6
+
+
+def test_neighbours_by_name(spark):
+    schema = "org_id long, org_name string, neighbors array<struct<id: long, name: string, dist: double>>"
+    near = [(7, "b", 0.5), (9, "c", 1.5)]
+    df = spark.createDataFrame([(1, "a", near), (2, "a", near[:1]), (7, "b", []), (9, None, None)], schema)
+    got = [tuple(r) for r in neighbours.neighbours_of_named(df, "a").orderBy("org_id", "rank").collect()]
+    assert got == [(1, 1, 7, "b", 0.5), (1, 2, 9, "c", 1.5), (2, 1, 7, "b", 0.5)]
+    assert neighbours.neighbours_of_named(df, "x").count() == 0

@@ -157,3 +157,35 @@ def test_repeated_and_null_keys_are_refused(spark):
         df = spark.createDataFrame([(i, "o", 1.0) for i in ids], "org_id long, org_name string, staff_avg double")
         with pytest.raises(ValueError, match="key of their own"):
             scoring.enrich(df, ScoringConfig())
+
+
+def test_years_that_are_not_named_are_an_error(spark):
+    df = spark.createDataFrame([(1, 2023), (2, 2024)], "org_id long, analysis_year int")
+    with pytest.raises(ValueError, match="2024"):
+        scoring.enrich_years(df, ScoringConfig(), [2023])
+
+
+def test_settings_survive_json():
+    from orgpulse import config
+
+    cfg = ScoringConfig().with_ceilings({"staff_avg": 7}).with_min_group_size(9)
+    assert ScoringConfig.from_json(cfg.to_json()) == cfg
+    assert ScoringConfig.from_json('{"min_group_size": 3}') == ScoringConfig().with_min_group_size(3)
+    with pytest.raises(ValueError, match="min_size"):
+        ScoringConfig.from_json('{"min_size": 3}')
+    assert config.columns_from_json(config.columns_to_json(config.REPORT_COLUMNS)) == config.REPORT_COLUMNS
+
+
+def test_fixed_values_by_literals():
+    cfg = ScoringConfig()
+    assert (cfg.level_cuts, cfg.min_group_size, cfg.n_bins) == ((0.75, 0.90, 0.95), 5, 12)
+    assert (cfg.bump_enabled, cfg.bump_min_directions, cfg.bump_min_level, cfg.bump_by) == (True, 3, 2, 1)
+    assert {c.column: c.limit for c in cfg.ceilings} == {
+        "violations_total": 605,
+        "staff_avg": 4_238,
+        "cash_payments": 20_175_413_543,
+        "procurement_count": 11_941,
+        "procurement_amount": 6_138_122_952,
+        "fkhz_count": 2_392_993,
+    }
+    assert [f.level for f in cfg.forms] == [1, 2, 3, 4] and len(cfg.metrics) == 20
