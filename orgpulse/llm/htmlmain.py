@@ -1,8 +1,9 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks. A classifier turns each block's features into two costs, that of
-calling it content and that of calling it boilerplate; they are the capacities to the two terminals of a
-graph. Neighbouring blocks and blocks of one DOM parent are tied by smoothness edges. The maximum flow
+A page becomes a row of text blocks. A classifier turns each block's features (its text, and the element
+or class hint it lies in) into two costs, that of calling it content and that of calling it boilerplate;
+they are the capacities to the two terminals of a graph. The two kinds of features weigh about the same,
+so where they disagree the ties decide. Neighbouring blocks and blocks of one DOM parent are tied by smoothness edges. The maximum flow
 cuts content from boilerplate. Blocks whose own costs outweigh all their ties are decided first, which
 leaves the cut unchanged and the graph small.
 """
@@ -26,7 +27,8 @@ from orgpulse.llm.common import bounded_batches, free_name, texts
 TRAINING_PAGES = 2_000  # about so many pages, chosen by a hash, train the content features
 NEXT_TIE = 0.6  # smoothness between neighbouring blocks
 PARENT_TIE = 0.8  # more between neighbours with one parent
-STRUCTURE = 6.0  # cost of going against a structural element
+LIMIT = 3.0  # largest log odds of a text feature or a place
+PLACE_BLOCKS = 20.0  # the expected odds of a place count as so many blocks
 
 # The alternatives in order: comment, other declaration, tag with quoted attributes.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -40,6 +42,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
+WRAPPERS = frozenset(["form"])  # boilerplate elements that may hold a whole page
 BOILERPLATE = frozenset("nav footer aside form menu dialog button".split())
 BAD_HINTS = frozenset(
     "nav navbar menu header footer sidebar side aside ad ads advert advertisement banner promo sponsor sponsored cookie "
@@ -47,13 +50,16 @@ BAD_HINTS = frozenset(
     "login signup search popup modal widget copyright disclaimer toolbar pagination pager tags".split()
 )
 GOOD_HINTS = frozenset("article content main post entry story body text".split())
+# Where a block lies; the innermost counts. With the share of content that is expected there.
+NEITHER, IN_CONTENT, GOOD_HINT, IN_BOILERPLATE, IN_WRAPPER, BAD_HINT = range(6)
+PLACES = (0.5, 0.9, 0.8, 0.1, 0.2, 0.2)
 
 
 @dataclass
 class Block:
     text: str
     link_share: float
-    structure: int  # 1 inside content elements, -1 inside boilerplate, 0 neither; the innermost decides
+    place: int
     parent: int
     tag: str
 
@@ -61,7 +67,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    structure: int
+    place: int
     number: int
 
 
@@ -72,25 +78,30 @@ class _Page:
     linked: int = 0
 
 
-def _structure(tag: str, attributes: str, outer: int) -> int:
-    if tag in BOILERPLATE or tag == "header" and outer <= 0:
-        return -1
+def _place(tag: str, attributes: str, outer: int) -> int:
+    """Content elements override hints and wrappers around them, good hints only other good ones."""
+    good = outer in (NEITHER, IN_CONTENT, GOOD_HINT)
+    if tag in BOILERPLATE:
+        # A form in a navigation element or the like does not become a wrapper of content.
+        return IN_WRAPPER if tag in WRAPPERS and outer != IN_BOILERPLATE else IN_BOILERPLATE
+    if tag == "header" and outer not in (IN_CONTENT, GOOD_HINT):
+        return IN_BOILERPLATE
     if tag in CONTENT:
-        return 1 if outer >= 0 else outer
+        return IN_BOILERPLATE if outer == IN_BOILERPLATE else IN_CONTENT
     if attributes and tag not in ("html", "body"):
         for m in _HINT.finditer(attributes):
             hints = set(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
             if hints & BAD_HINTS:
-                return -1
-            if hints & GOOD_HINTS and outer >= 0:
-                return 1
+                return IN_BOILERPLATE if outer == IN_BOILERPLATE else BAD_HINT
+            if hints & GOOD_HINTS and good:
+                return IN_CONTENT if outer == IN_CONTENT else GOOD_HINT
     return outer
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order, white space collapsed, character references decoded, empty ones left out."""
     page = _Page()
-    stack = [_Open("", 0, 0)]
+    stack = [_Open("", NEITHER, 0)]
     numbers = 0
     in_link = False
     at = 0
@@ -107,7 +118,7 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             share = min(1.0, page.linked / max(1, len(text)))
             holder = next((o for o in reversed(stack) if o.tag not in ("p", "li", "td", "th", "dd", "dt")), stack[0])
-            page.blocks.append(Block(text, share, stack[-1].structure, holder.number, stack[-1].tag))
+            page.blocks.append(Block(text, share, stack[-1].place, holder.number, stack[-1].tag))
         page.words, page.linked = [], 0
 
     while True:
@@ -146,7 +157,7 @@ def blocks_of(html: str) -> list[Block]:
         elif stack[-1].tag == "p":
             stack.pop()
         numbers += 1
-        stack.append(_Open(tag, _structure(tag, m[3], stack[-1].structure), numbers))
+        stack.append(_Open(tag, _place(tag, m[3], stack[-1].place), numbers))
     close()
     return page.blocks
 
@@ -163,36 +174,49 @@ def features(block: Block) -> int:
 FEATURES = 6 * 3 * 2 * 4
 
 
+def learn(counts: np.ndarray) -> np.ndarray:
+    """Log odds of content for every text feature, then for every place, from counts (place, feature).
+
+    Places that name content or boilerplate label the blocks for the text features. The odds of a place
+    are then those the text features give to its blocks, together with what is expected of it."""
+    expected = np.array(PLACES)
+    table = np.array([counts[expected < 0.5].sum(axis=0), counts[expected > 0.5].sum(axis=0)]) + 0.5
+    share = table / table.sum(axis=1, keepdims=True)
+    text = np.clip(np.log(share[1] / share[0]), -LIMIT, LIMIT)
+    content = counts @ (1 / (1 + np.exp(-text)))
+    odds = np.log(content + PLACE_BLOCKS * expected) - np.log(counts.sum(axis=1) - content + PLACE_BLOCKS * (1 - expected))
+    odds[NEITHER] = 0
+    return np.concatenate([text, np.clip(odds, -LIMIT, LIMIT)])
+
+
 def train(pages: DataFrame, sample: int = TRAINING_PAGES) -> np.ndarray:
-    """Log odds of content for every feature value. Blocks inside content and boilerplate elements of a
-    hash sample of about `sample` pages are the examples; blocks outside both teach nothing."""
+    """The log odds of `learn` from a hash sample of about `sample` pages. Blocks outside content and
+    boilerplate elements teach nothing."""
     bounded_batches(pages.sparkSession)
     n = pages.count()
     draw = F.pmod(F.xxhash64("html"), F.lit(1 << 30))
     chosen = pages.select("html").where(draw < int(min(1.0, sample / max(1, n)) * (1 << 30)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, FEATURES), np.int64)
+        counts = np.zeros((len(PLACES), FEATURES), np.int64)
         for b in batches:
             for html in texts(b["html"]):
                 for block in blocks_of(html):
-                    if block.structure:
-                        counts[int(block.structure > 0), features(block)] += 1
-        y, f = np.nonzero(counts)
-        yield pd.DataFrame({"y": y, "f": f, "n": counts[y, f]})
+                    counts[block.place, features(block)] += 1
+        place, f = np.nonzero(counts)
+        yield pd.DataFrame({"place": place, "f": f, "n": counts[place, f]})
 
-    table = np.full((2, FEATURES), 0.5)
-    rows = chosen.mapInPandas(run, "y int, f int, n long").groupBy("y", "f").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((len(PLACES), FEATURES))
+    rows = chosen.mapInPandas(run, "place int, f int, n long").groupBy("place", "f").agg(F.sum("n").alias("n")).collect()
     for r in rows:
-        table[r["y"], r["f"]] += r["n"]
-    share = table / table.sum(axis=1, keepdims=True)
-    return np.clip(np.log(share[1] / share[0]), -3, 3) if rows else np.zeros(FEATURES)
+        counts[r["place"], r["f"]] += r["n"]
+    return learn(counts)
 
 
 def label(blocks: list[Block], odds: np.ndarray) -> list[bool]:
     """Content or not, by minimum cut."""
     n = len(blocks)
-    costs = [STRUCTURE * b.structure + float(odds[features(b)]) for b in blocks]
+    costs = [float(odds[features(b)] + odds[FEATURES + b.place]) for b in blocks]
     ties: list[dict[int, float]] = [{} for _ in blocks]
 
     def tie(a: int, b: int, weight: float) -> None:

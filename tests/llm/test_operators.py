@@ -276,3 +276,49 @@ def test_classifiers_on_odd_rows(docs, empty, spark):
     by_id = {r["doc_id"]: r["_found"]["lang_pred"] for r in marked.collect()}
     assert by_id[3000] == by_id[3001] == by_id[3002] == "und" and by_id[3003] == "en"
     assert {r["found"]["lang_pred"] for r in langid.with_language(docs.drop("found"), langid.fit(empty)).collect()} == {"und"}
+
+
+def test_the_cut_decides_where_text_and_place_disagree(monkeypatch):
+    long, short = f"<p>{'Words that an article would have. ' * 8}</p>", "<p>Buy</p>"
+    odds = np.zeros(htmlmain.FEATURES + len(htmlmain.PLACES))
+    odds[htmlmain.FEATURES :] = htmlmain.learn(np.zeros((len(htmlmain.PLACES), htmlmain.FEATURES)))[htmlmain.FEATURES :]
+    a, b = htmlmain.blocks_of(long + short)
+    odds[htmlmain.features(a)], odds[htmlmain.features(b)] = 2.5, -3
+    cuts, cut = [], htmlmain.minimum_cut
+    monkeypatch.setattr(htmlmain, "minimum_cut", lambda *x: cuts.append(cut(*x)) or cuts[-1])
+
+    def kept(inner):
+        del cuts[:]
+        return [x != "" for x in htmlmain.main_text(f'<div class="sidebar">{inner}</div>', odds).split("\n")]
+
+    # Paragraphs under a bad hint: none can be decided on its own, the cut finds them to be content.
+    assert kept(long * 3) == [True] * 3 and cuts == [[True] * 3]
+    # One ad beside them stays out; the cut still keeps the paragraphs although the ad pulls at the first.
+    assert kept(short + long * 3) == [True] * 3 and cuts == [[True] * 3]
+    # The same paragraph between ads goes with them.
+    assert kept(short + long + short) == [False]
+    # Inside a content element the same short text is kept only while its neighbours hold it.
+    assert htmlmain.main_text(f"<main>{short}</main>", odds) == ""
+    assert htmlmain.main_text(f"<main>{long}{short}{long}</main>", odds).count("\n") == 2
+
+
+def test_text_and_place_odds_are_of_one_size():
+    counts = np.zeros((len(htmlmain.PLACES), htmlmain.FEATURES))
+    html = "<article>" + f"<p>{'A long sentence of the article. ' * 8}</p>" * 4 + '</article><div class="ad"><p>Buy</p></div>'
+    for b in htmlmain.blocks_of(html):
+        counts[b.place, htmlmain.features(b)] += 500
+    odds = htmlmain.learn(counts)
+    assert np.abs(odds).max() <= htmlmain.LIMIT
+    assert odds[htmlmain.FEATURES + htmlmain.IN_CONTENT] > 2 and odds[htmlmain.FEATURES + htmlmain.BAD_HINT] < -2
+    # A hint under which the text reads like content loses its weight.
+    counts[htmlmain.BAD_HINT], counts[htmlmain.IN_BOILERPLATE] = counts[htmlmain.IN_CONTENT], 10 * counts[htmlmain.BAD_HINT]
+    assert htmlmain.learn(counts)[htmlmain.FEATURES + htmlmain.BAD_HINT] > -0.5
+
+
+def test_content_elements_override_outer_forms_and_hints():
+    def places(html):
+        return [b.place for b in htmlmain.blocks_of(html)]
+
+    assert places("<form><p>a</p><main><p>b</p></main></form>") == [htmlmain.IN_WRAPPER, htmlmain.IN_CONTENT]
+    assert places('<div class="sidebar"><article>a</article></div>') == [htmlmain.IN_CONTENT]
+    assert places("<nav><article>a</article></nav><article><aside>b</aside></article>") == [htmlmain.IN_BOILERPLATE] * 2
