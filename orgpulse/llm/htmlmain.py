@@ -36,6 +36,9 @@ _UNCLOSED = re.compile(r"</?[a-zA-Z][^<]*\Z")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 RAW = frozenset("script style noscript template svg math iframe object textarea select canvas audio video head".split())
+FOREIGN = frozenset("svg math".split())  # a trailing slash closes them
+NESTED = frozenset("template svg math object select canvas audio video".split())  # the other RAW ones end at the first end tag
+SWALLOWING = frozenset("script style textarea template".split())  # without an end tag they take the rest of the page
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -98,6 +101,40 @@ def _place(tag: str, attributes: str, outer: int) -> int:
     return outer
 
 
+class _Ends:
+    """Where RAW elements end: per tag name the ends of its start tags, found in one pass each."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.nested: dict[str, dict[int, int]] = {}
+        self.none_left: set[str] = set()
+
+    def after(self, tag: str, at: int) -> int | None:
+        """Place behind the end tag of the element whose start tag ends at `at`, if it has one."""
+        if tag in NESTED:
+            if tag not in self.nested:
+                self.nested[tag] = self._match(tag)
+            return self.nested[tag].get(at)
+        if tag in self.none_left:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.html, at)
+        if not m:
+            self.none_left.add(tag)
+        return m.end() if m else None
+
+    def _match(self, tag: str) -> dict[int, int]:
+        found, starts = {}, []
+        pattern = rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+        for m in re.compile(pattern, re.I | re.S).finditer(self.html):
+            if m[1] is None or not m[1] and tag in FOREIGN and m[2].rstrip().endswith("/"):
+                continue
+            if not m[1]:
+                starts.append(m.end())
+            elif starts:
+                found[starts.pop()] = m.end()
+        return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order, white space collapsed, character references decoded, empty ones left out."""
     page = _Page()
@@ -107,6 +144,8 @@ def blocks_of(html: str) -> list[Block]:
     at = 0
     html = _UNCLOSED.sub("", html) if html.rfind("<") > html.rfind(">") else html
 
+    ends = _Ends(html)
+
     def add(raw: str) -> None:
         if raw:
             page.words.append(raw)
@@ -145,8 +184,9 @@ def blocks_of(html: str) -> list[Block]:
             in_link = False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html) if tag != "head" else at
+            if tag not in FOREIGN or not m[3].rstrip().endswith("/"):
+                end = ends.after(tag, at)
+                at = end if end is not None else len(html) if tag in SWALLOWING else at
             continue
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue

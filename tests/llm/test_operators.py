@@ -322,3 +322,16 @@ def test_content_elements_override_outer_forms_and_hints():
     assert places("<form><p>a</p><main><p>b</p></main></form>") == [htmlmain.IN_WRAPPER, htmlmain.IN_CONTENT]
     assert places('<div class="sidebar"><article>a</article></div>') == [htmlmain.IN_CONTENT]
     assert places("<nav><article>a</article></nav><article><aside>b</aside></article>") == [htmlmain.IN_BOILERPLATE] * 2
+
+
+def test_raw_elements_without_an_end():
+    def found(html):
+        return [b.text for b in htmlmain.blocks_of(html)]
+
+    for tag in ("<svg/>", '<svg viewBox="0 0 1 1" />', "<math />", "<select>", "<object data='x'>", "<canvas>", "<iframe>"):
+        assert found(f"<p>a</p>{tag}<article>b</article>") == ["a", "b"], tag
+        assert found(f"<p>a</p>{tag}<article>b</article><svg><g>x</g></svg>") == ["a", "b"], tag
+    assert found("<object><article>b</article><object>x</object><p>c") == ["b", "c"]
+    assert found("<svg><svg>x</svg>y<svg/></svg><p>b</p>") == ["b"]
+    for tag in ("script", "style", "textarea", "template"):
+        assert found(f"<p>a</p><{tag}>b") == ["a"]
