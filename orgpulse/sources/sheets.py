@@ -6,6 +6,7 @@ order its rows, and the cells as an array of strings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,20 +22,35 @@ MIN_MARKERS = 2
 BROADCAST_SOURCES = 100_000
 
 
-def sheet_width(spark: SparkSession, path: str, sep: str = ",") -> int:
-    """Cells of the widest row at most: one more than the separators of any line."""
-    line = F.col("value")
-    seps = (F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))) / len(sep)
-    return int(spark.read.text(path).agg(F.max(seps)).first()[0] or 0) + 1
+_ESCAPES = {"t": "\t", "r": "\r", "b": "\b", "f": "\f", "u0000": "\0"}
+
+
+def separator(options: dict[str, str]) -> str:
+    """The separator as the CSV reader takes it: `sep` before its alias `delimiter`, in any case, escapes resolved."""
+    known = {k.lower(): v for k, v in options.items()}
+    return re.sub(r"\\(u0000|.)", lambda m: _ESCAPES.get(m[1], m[1]), known.get("sep", known.get("delimiter", ",")))
+
+
+def sheet_width(spark: SparkSession, path: str, **options: str) -> int:
+    """Cells of the widest row at most: one more than the separators inside any record, where a record is
+    what the CSV reader with these options takes for one. Against one expected cell every wider record is
+    malformed, and the reader hands over its text."""
+    own = {"header": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "columnPruning": "false"}
+    given = {k: v for k, v in options.items() if k.lower() not in {x.lower() for x in own}}
+    records = spark.read.schema("c0 string, _record string").options(**own, **given).csv(path)
+    text, sep = F.col("_record"), separator(options)
+    seps = (F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))) / len(sep)
+    # The reader refuses to return the text of the records alone.
+    return int(records.agg(F.max(seps).alias("n"), F.count("c0")).first()["n"] or 0) + 1
 
 
 def read_sheets(spark: SparkSession, path: str, cells: int | None = None, **options: str) -> DataFrame:
     """Delimited files without assuming where the header is; all rows get as many cells as the widest
-    has (`cells` overrides that). Rows of a file are ordered by the start of their split and their place
-    in it, so large files stay splittable. Stage the result: the place is only comparable within one
-    scan, and every later step reads the rows again."""
+    record has (`cells` overrides that). Rows of a file are ordered by the start of their split and their
+    place in it, so large files stay splittable. Stage the result: the place is only comparable within
+    one scan, and every later step reads the rows again."""
     if cells is None:
-        cells = sheet_width(spark, path, options.get("sep", ","))
+        cells = sheet_width(spark, path, **options)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(cells)])
     raw = spark.read.schema(schema).options(header="false", mode="PERMISSIVE", **options).csv(path)
     return raw.select(

@@ -155,6 +155,31 @@ def test_wide_sheet(spark, tmp_path):
     assert [r["staff_avg"] for r in report.collect()] == ["7"]
 
 
+@pytest.mark.parametrize(
+    ("text", "options"),
+    [
+        ('h1,h2,"x\ny",h4,h5\n1,2\n', {"multiLine": "true"}),
+        ('"x\ny";"a\nb";"c\nd";h4;h5\n1;2\n', {"multiline": "true", "delimiter": ";"}),
+        ("h1;h2;h3;h4;h5\n1;2\n", {"delimiter": ";"}),
+        ("h1;h2;h3;h4;h5\n1;2\n", {"DELIMITER": ";"}),
+        ("h1;h2;h3;h4;h5\n1,2\n", {"SEP": ";", "delimiter": ","}),
+        ("h1\th2\th3\th4\th5\n1\t2\n", {"sep": "\\t"}),
+        ("h1||h2||h3||h4||h5\n1||2\n", {"sep": "||"}),
+        ("1,2\nh1,h2,h3,h4,h5\n", {}),
+    ],
+)
+def test_last_cell_of_the_widest_record_is_kept(spark, tmp_path, text, options):
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    cells = [r["cells"] for r in sheets.read_sheets(spark, str(tmp_path), **options).collect()]
+    assert len(cells) == 2 and max(c[4] or "" for c in cells) == "h5"
+
+
+def test_width_of_one_column_and_of_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a\nb\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("", encoding="utf-8")
+    assert sheets.sheet_width(spark, str(tmp_path / "a.csv")) == sheets.sheet_width(spark, str(tmp_path / "b.csv")) == 1
+
+
 def test_absent_columns(spark, enriched):
     gone = ["report_status", "risk_methodology", "effectiveness_review", "federal_district", *summaries.BASIC_ELEMENTS]
     sparse = enriched.drop(*gone)
