@@ -1,5 +1,6 @@
 """The text operators against brute-force versions, with nulls, empty texts, ties and repeated rows."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -86,6 +87,18 @@ def test_block_comparison_finds_what_pairs_find():
             assert got[a, b] == (100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared))
 
 
+def test_signature_filter_misses_less_than_the_bands():
+    bands = (1 - 0.8**neardup.ROWS) ** (2 * neardup.PERMUTATIONS // neardup.ROWS)
+    for values, similarity in ((128, (80, 100)), (128, (95, 100)), (32, (1, 2)), (128, (1, 1)), (16, (0, 1))):
+        p = (1 - similarity[0] / similarity[1]) * 15 / 16
+        most = neardup.most_mismatches(values, similarity)
+
+        def tail(m, n=values, p=p):
+            return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m + 1, n + 1))
+
+        assert tail(most) <= 1e-8 < bands and (most == 0 or tail(most - 1) > 1e-8)
+
+
 def test_clusters_over_the_limit_go_on_with_probes(docs, monkeypatch):
     whole = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
     monkeypatch.setattr(neardup, "CLUSTER", 1)
