@@ -177,7 +177,14 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """`docs` without documents of unknown language or with a score below `min_score`."""
+    """`docs` without documents of unknown language or with a score below `min_score`.
+
+    A model that knows no language (no row to learn from had one) cannot tell them apart: then every
+    text with a letter stays, and a `min_score` above 0 is an error."""
+    if not model.languages:
+        if min_score > 0:
+            raise ValueError("no row to learn from has a language, so no text has a score: min_score must be 0")
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     marked = with_language(docs, model)
     found = marked.columns[-1]
     sure = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= min_score)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orgpulse.llm import decontam, hostrules, htmlmain, langid, neardup, packing, pii, quality, tokens, toxicity
@@ -278,6 +279,21 @@ def test_classifiers_on_held_out_rows(spark):
     assert bad.selectExpr("avg(int((score >= 0.5) = (toxic = 1)))").first()[0] > 0.9
 
 
+def test_without_known_languages_texts_with_letters_stay(docs, empty):
+    no_lang = docs.withColumn("lang", F.lit(None).cast("string"))
+    in_other_folds = docs.where("crc32(string(doc_id)) % 4 = 2")
+    for rows in (no_lang, in_other_folds):
+        model = langid.fit(rows)
+        assert not model.languages
+        kept = langid.identified(rows, model)
+        assert kept.columns == rows.columns
+        want = Counter(r["doc_id"] for r in rows.collect() if any(c.isalpha() for c in r["text"] or ""))
+        assert want and Counter(r["doc_id"] for r in kept.collect()) == want
+        with pytest.raises(ValueError, match="no row to learn from"):
+            langid.identified(rows, model, min_score=0.1)
+    assert langid.identified(empty, langid.fit(empty)).count() == 0
+
+
 def test_classifiers_on_odd_rows(docs, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for f in (quality.quality, toxicity.toxicity):
