@@ -50,6 +50,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+HOT_SHARE = 1_000  # a key with at least a thousandth of the rows is hot; there are at most a thousand
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: Column, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `keyed` (one row for every key, `weight` of it being the rows that have it, of
+    `total` in all). Hot keys, whose number is bounded by their share, are looked up by broadcast; only
+    rows of other keys are shuffled. Both frames are read twice, so they should be staged or cheap."""
+    is_hot = weight * HOT_SHARE >= total
+    hot = keyed.where(is_hot)
+    common = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key, how)
+    return common.unionByName(rest)
+
+
 def texts(series: pd.Series) -> list[str]:
     """Values of a text column, null as the empty text."""
     return ["" if x is None or x is pd.NA or x != x else x for x in series.tolist()]

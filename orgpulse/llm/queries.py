@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm import decontam, hostrules, htmlmain, langid, neardup, packing, pii, quality, tokens, toxicity
+from orgpulse.llm import (
+    decontam,
+    hostrules,
+    htmlmain,
+    langid,
+    neardup,
+    packing,
+    pii,
+    quality,
+    tokens,
+    toxicity,
+    variants,
+    whitening,
+)
 from orgpulse.llm.common import bucket_of, table
 
 
@@ -93,6 +106,14 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, tokenizer_files()["tokenizer"]).select("doc_id", "tokens.*")
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_htmlmain,
         op10_tokens,
+        op12_variants,
+        op13_whitening,
     )
 }
 
@@ -197,5 +220,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS
   CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
   coalesce(words.n, 0) > 0 AND {decontam.COVERAGE} * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+""",
+    "op12_variants": rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+runs AS (
+  SELECT id, run, COUNT(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+      unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]{{{variants.LEAST_LENGTH},}}')) AS run FROM documents)
+  GROUP BY id, run),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS h
+  FROM bytes, crc),
+cut AS (
+  SELECT k, CASE WHEN h % {variants.DROP_EVERY} = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+w AS (
+  SELECT word, CAST(SUM(k) AS BIGINT) AS n FROM cut WHERE length(word) >= {variants.LEAST_LENGTH}
+  GROUP BY word HAVING SUM(k) >= {variants.LEAST_COUNT}),
+gap AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+shorter AS (SELECT DISTINCT gap.word AS a, w.word AS b FROM gap JOIN w ON gap.rest = w.word),
+near AS (
+  SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+  UNION SELECT x.word, y.word FROM gap x JOIN gap y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (
+  SELECT a AS word, COUNT(*) AS n_near, MAX(w.n) AS top, arg_min(b, struct_pack(n := -w.n, b := b)) AS b
+  FROM near JOIN w ON w.word = b GROUP BY a),
+form AS (SELECT w.word, best.b AS form, best.top AS form_n FROM w JOIN best USING (word) WHERE best.top >= {variants.RATIO} * w.n),
+chain(word, root, depth) AS (
+  SELECT word, word, 0 FROM w UNION ALL SELECT chain.word, form.form, depth + 1 FROM chain JOIN form ON form.word = chain.root),
+ends AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT w.word, form.form, ends.root, w.n, CAST(coalesce(best.n_near, 0) AS BIGINT) AS n_near, form.form_n
+FROM w JOIN ends USING (word) LEFT JOIN best ON best.word = w.word LEFT JOIN form ON form.word = w.word
 """,
 }
