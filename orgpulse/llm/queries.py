@@ -13,6 +13,7 @@ from orgpulse.llm import (
     hostrules,
     htmlmain,
     langid,
+    lzdedup,
     neardup,
     packing,
     pii,
@@ -106,6 +107,11 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, tokenizer_files()["tokenizer"]).select("doc_id", "tokens.*")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lzdedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_htmlmain,
         op10_tokens,
+        op11_substrings,
         op12_variants,
         op13_whitening,
     )
@@ -220,6 +227,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS
   CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
   coalesce(words.n, 0) > 0 AND {decontam.COVERAGE} * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+""",
+    "op11_substrings": rf"""
+WITH d AS (
+  SELECT ROW_NUMBER() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT r, i, array_to_string(w[i : i + {lzdedup.WINDOW - 1}], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - {lzdedup.WINDOW - 2})) AS i FROM d)),
+often AS (SELECT s FROM win GROUP BY s HAVING COUNT(*) > 1),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {lzdedup.WINDOW})) AS p FROM win WHERE s IN (SELECT s FROM often)),
+per_row AS (SELECT r, list(p) AS ps, COUNT(*) AS n FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM (
+    SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = x.r AND gone.p = x.p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(per_row.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN per_row ON per_row.r = d.r LEFT JOIN kept ON kept.r = d.r
 """,
     "op12_variants": rf"""
 WITH RECURSIVE crc AS (
