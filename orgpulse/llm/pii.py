@@ -10,8 +10,10 @@ and decides on the candidates. Base spans always stay; the classifier adds other
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -115,18 +117,13 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
         loose += [("local_phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     if "at" in text and ("(dot)" in text or "[dot]" in text):
         loose += [("spelled_email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    free = [x for x in loose if not any(a < x[2] and x[1] < b for a, b in _near(taken, x[1], x[2]))]
+    # A looser span overlaps a base span if, of those that start before its end, one ends behind its start.
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    before = [(x, bisect_left(starts, x[2])) for x in loose]
+    free = [x for x, at in before if not at or reach[at - 1] <= x[1]]
     return [(k, a, b, vote(text, k, a, b)) for k, a, b in [*base, *free]]
 
 
-def _near(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    """The sorted spans that may overlap [start, end)."""
-    from bisect import bisect_left
-
-    at = bisect_left(taken, (end, -1))
-    return taken[max(0, at - 8) : at]
-
-
 def vote(text: str, kind: str, start: int, end: int) -> int:
     span = text[start:end]
     low = span.lower()
