@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_kept: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What a Python worker keeps for the operator `owner` between tasks. One worker serves many operators
+    in turn, so whatever it kept for another one is dropped and its memory returned to the system."""
+    if owner not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only this C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +53,10 @@ def per_text(function: Callable[[list[str]], pd.Series | pd.DataFrame], kind: st
     """A column made of the `text` column by whole batches; null texts count as empty. For the
     optimiser it is not deterministic, so that a filter on it does not compute it a second time."""
 
+    owner = function.__module__
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series | pd.DataFrame]:
+        cache(owner)
         for batch in batches:
             yield function(texts(batch))
 

@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgpulse.llm.common import bounded_batches, free_name, per_text
+from orgpulse.llm.common import bounded_batches, cache, per_text
 from orgpulse.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64
+SALT_PIECES = 100_000  # pieces of one length that get their ranks in one task
 # Characters for which the fast encoder and the tokenizer file split texts alike: printable ASCII,
 # tab, line feed, and Latin letters. Texts with others go through the tokenizer library itself.
 _PLAIN = r"[\t\n\x20-\x7eÀ-ÖØ-öø-ſ]*"
@@ -53,7 +53,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and self.plain.fullmatch(text) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # white space of some 600,000 characters exceeds its matcher's stack
+                pass
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -69,15 +72,13 @@ def _rank_encoder(path: str):
     return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, ranks_path: str | None) -> Encoder:
-    """One encoder per Python worker."""
+    """One encoder per Python worker, as long as the worker packs."""
+    held = cache(__name__)
     key = (path, ranks_path)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, ranks_path)
-    return _encoders[key]
+    if key not in held:
+        held[key] = Encoder(path, ranks_path)
+    return held[key]
 
 
 def piece_lengths(total: int, capacity: int) -> list[int]:
@@ -142,24 +143,36 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, salts: int = SALTS
+    docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, salt_pieces: int = SALT_PIECES
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) with sequence_id and offset.
 
     A null or empty text is one piece that holds the end id alone. Repeated rows are packed as often
-    as they occur, rows with a null id too. No document gives no piece."""
+    as they occur, rows with a null id too. No document gives no piece. Texts are encoded whole, however
+    long. Pieces of equal length are interchangeable: which of them takes which slot is settled by
+    (doc_id, piece, ids_crc32), and between rows equal in these it makes no difference.
+
+    A full piece is a sequence of its own and needs no slot; such sequences have negative numbers."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    cut = stage(pieces(docs, tokenizer, ranks, capacity), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    by_salt = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    every = stage(pieces(docs, tokenizer, ranks, capacity), "pieces")
+    whole = every.where(F.col("length") == capacity).select(
+        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    cut = every.where(F.col("length") < capacity)
+    many = stage(cut.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most `capacity` rows
+    counts = {r["length"]: r["n"] for r in many.collect()}
+    # A length gets as many salts as its pieces need, so no task ranks more than about `salt_pieces`.
+    salts = many.select("length", F.ceil(F.col("n") / salt_pieces).alias("salts"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
+    by_salt = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "salts")
     found = [(*r, k) for k, r in enumerate(plan(counts, capacity))]
     schema = "length long, from_rank long, to_rank long, sequence long, each long, at long, range long"
     ranges = spark.createDataFrame(found, schema)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("row", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("row"))
     # The plan is bounded by the capacity, not by the documents, and each rank lies in one range.
@@ -167,19 +180,7 @@ def pack(
     placed = ranked.join(F.broadcast(ranges), "length").where(within)
     place = F.col("rank") - F.col("from_rank")
     return placed.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+        *every.columns,
         (F.col("sequence") + F.floor(place / F.col("each"))).alias("sequence_id"),
         (F.col("at") + (place % F.col("each")) * F.col("length")).alias("offset"),
-    )
-
-
-def with_sequences(docs: DataFrame, tokenizer: str, **options: object) -> DataFrame:
-    """`docs` with an array column `pieces` of every row's (piece, start, length, sequence_id, offset)."""
-    packed = pack(docs, tokenizer, **options)  # type: ignore[arg-type]
-    fields = F.struct("piece", "start", "length", "sequence_id", "offset")
-    per_doc = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(fields)).alias(free_name(docs, "pieces")))
-    return docs.join(per_doc, "doc_id", "left")
+    ).unionByName(whole)
