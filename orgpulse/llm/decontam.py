@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm.common import bounded_batches, free_name, per_text
+from orgpulse.llm.common import bounded_batches, cache, free_name, per_text
 from orgpulse.staging import stage
 
 WINDOW = 13
@@ -143,15 +143,13 @@ def _held(items: DataFrame) -> bytes:
     return pickle.dumps([(number, words) for number, words in rows if words])
 
 
-_loaded: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(name: str, held: bytes, window: int) -> SuffixAutomaton:
     """The automaton of a block; a Python worker keeps the last one."""
-    if name not in _loaded:
-        _loaded.clear()
-        _loaded[name] = SuffixAutomaton(pickle.loads(held), window)
-    return _loaded[name]
+    kept = cache(__name__)
+    if name not in kept:
+        kept.clear()
+        kept[name] = SuffixAutomaton(pickle.loads(held), window)
+    return kept[name]
 
 
 def _matches(spark: SparkSession, items: DataFrame, window: int) -> tuple[Column, Broadcast]:

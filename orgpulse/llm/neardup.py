@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgpulse.llm.common import bounded_batches, mix, per_text, shingle_sets, signed, slices
+from orgpulse.llm.common import bounded_batches, cache, mix, per_text, shingle_sets, signed, slices
 from orgpulse.staging import stage
 
 PERMUTATIONS = 64
@@ -39,6 +39,7 @@ FIRST_PROBES = 1
 MORE_PROBES = 8  # times as many in each further round
 BLOCKS_ABOVE = 8  # ids of buckets open after so many probes are compared in blocks
 BLOCK = 128  # ids of a block
+BLOCK_BYTES = 1 << 20  # of the sets of a block; long texts make smaller blocks
 CLUSTER = 20_000  # ids of a cluster that is compared in blocks
 FILTER_MISS = 1e-8  # probability at most that the signatures of a pair at the limit speak against it
 _COLUMNS = 16_384  # shingles of one presence matrix
@@ -145,6 +146,7 @@ def _linked(similarity: tuple[int, int]) -> Column:
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+        cache(__name__)
         out = []
         for a, b in zip(left, right, strict=True):
             x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
@@ -211,6 +213,7 @@ def _compare_blocks(ids: DataFrame, sets: DataFrame, similarity: tuple[int, int]
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        cache(__name__)
         found = np.argwhere(np.triu(alike([np.frombuffer(x, _U) for x in rows["items"]], similarity), 1))
         comp = rows["comp"].to_numpy()
         root = {c: c for c in comp}
@@ -279,7 +282,7 @@ def find_components(
         ids, state = _contract(judged.where("ok").select("ca", "cb"), ids, state.where("not probe").drop("probe"))
         if probes == BLOCKS_ABOVE:
             open_rows = _open_only(state)
-            grouped = _clusters(open_rows)
+            grouped = _clusters(open_rows, sets)
             small = grouped.where(F.col("size") <= CLUSTER)
             ids, open_rows = _contract(_compare_blocks(small, sets, similarity), ids, open_rows)
             state = open_rows.join(small.select("id"), "id", "left_anti")
@@ -303,14 +306,17 @@ def _open_only(state: DataFrame) -> DataFrame:
     return stage(state.join(spread.select("key"), "key"), "buckets")
 
 
-def _clusters(state: DataFrame) -> DataFrame:
-    """(id, comp, cluster, size, blocks) of the ids in `state`; ids of one bucket are in one cluster."""
+def _clusters(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, comp, cluster, size, blocks) of the ids in `state`; ids of one bucket are in one cluster.
+    A cluster has so many blocks that neither ids nor bytes of sets are too many for one."""
     first = state.groupBy("key").agg(F.min("id").alias("b"))
     joined = connected(state.select("key", F.col("id").alias("a")).join(first, "key").select("a", "b"))
     ids = state.groupBy("id").agg(F.first("comp").alias("comp")).join(joined, "id", "left")
     ids = stage(ids.select("id", "comp", F.coalesce("root", "id").alias("cluster")), "clusters")
-    size = ids.groupBy("cluster").agg(F.count("*").alias("size"))
-    return ids.join(size, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    held = ids.join(sets.select("id", F.octet_length("items").alias("held")), "id")
+    size = held.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("held").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") / BLOCK_BYTES))
+    return ids.join(size.select("cluster", "size", blocks.alias("blocks")), "cluster")
 
 
 def near_duplicates(

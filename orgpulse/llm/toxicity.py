@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgpulse.llm.common import bounded_batches, bucket_of, per_text, shingle_sets, signed, texts
+from orgpulse.llm.common import bounded_batches, bucket_of, cache, per_text, shingle_sets, signed, texts
 from orgpulse.staging import stage
 
 HOLDOUT = (5, 0)
@@ -113,15 +113,13 @@ def _unmask(masked: str) -> bool:
     return any(pattern.match(w) for x in LISTS[:3] for w in x)
 
 
-_known_words: dict[Mined, tuple[frozenset, frozenset]] = {}
-
-
 def _known(mined: Mined) -> tuple[frozenset[bytes], frozenset[bytes]]:
     """All listed and mined words, and the first four bytes of the mined stems."""
-    if mined not in _known_words:
+    held = cache(__name__)
+    if mined not in held:
         words = frozenset(w.encode() for w in mined.words.union(*LISTS))
-        _known_words[mined] = (words, frozenset(x.encode()[:4] for x in mined.stems))
-    return _known_words[mined]
+        held[mined] = (words, frozenset(x.encode()[:4] for x in mined.stems))
+    return held[mined]
 
 
 def _training(labels: DataFrame, label: str, holdout: tuple[int, int] | None) -> DataFrame:
