@@ -1,8 +1,8 @@
-"""Average-rank percentile of every row, for several columns at once, without a global window.
+"""Average-rank percentiles for several columns at once, without a global window.
 
-The rows are reduced to a value histogram first, so ties and hot values cost one histogram row. The
-histogram is cut into value ranges; a running sum inside a range plus the exact number of rows
-before the range gives the rank of each distinct value. Ranges only balance the work.
+Of every row: one exchange by value range, ranks inside a range, and the exact number of rows before the
+range. Of every distinct value: a value histogram, cut into ranges, with a running sum inside each. Ranges
+only balance the work.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ MAX_RANGES = 1024
 # A value holding at least 1/HOT_SHARE of a column's rows is looked up by broadcast; there can be
 # at most HOT_SHARE such values per column, whatever the size of the data.
 HOT_SHARE = 2_000
+# A value with at least 1/NOTICEABLE of a column's rows is ranked by counts, without an exchange of its rows.
+NOTICEABLE = 500
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
@@ -118,16 +120,95 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"rows need a key of their own, repeated or null: {shown}")
 
 
+def _grid(long: DataFrame, points: int) -> dict[str, list[float]]:
+    """Distinct values near `points` equally spaced ranks of each column, ascending.
+
+    The sketch errs by a quarter of a step at most, so a value that holds two steps of a column's rows
+    is always among them."""
+    shares = [i / points for i in range(1, points)]
+    rows = long.groupBy("name").agg(F.percentile_approx("value", shares, 4 * points).alias("q")).collect()
+    return {r["name"]: sorted(set(r["q"])) for r in rows}
+
+
+def _with_range(long: DataFrame, grid: dict[str, list[float]]) -> DataFrame:
+    """`long` with `range`, the number of grid values below the value, and `edge`, whether it is the grid
+    value that closes the range."""
+    names, coarse, fine, sides = [], [], [], []
+    for name, edges in grid.items():
+        side = max(1, math.isqrt(len(edges)))
+        names.append(name)
+        sides.append(side)
+        coarse.append(edges[side - 1 :: side])
+        fine.append([edges[k : k + side] for k in range(0, len(edges) + 1, side)])
+    tables = long.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "name": pa.array(names, pa.string()),
+                "side": pa.array(sides, pa.int32()),
+                "coarse": pa.array(coarse, pa.list_(pa.float64())),
+                "fine": pa.array(fine, pa.list_(pa.list_(pa.float64()))),
+            }
+        )
+    )
+
+    def below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: e < F.col("value")))
+
+    found = long.join(F.broadcast(tables), "name").withColumn("cell", below(F.col("coarse")))
+    inner = F.get("fine", F.col("cell"))
+    found = found.withColumn("place", below(inner)).withColumns(
+        {
+            "range": F.col("cell") * F.col("side") + F.col("place"),
+            "edge": F.coalesce(F.get(inner, F.col("place")) == F.col("value"), F.lit(False)),
+        }
+    )
+    return found.drop("side", "coarse", "fine", "cell", "place")
+
+
 def average_rank_percentile(
     df: DataFrame,
     keys: Sequence[str],
     columns: dict[str, Column],
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """(keys, name, pct) for every non-null value; `pct` is pandas' `rank(pct=True)`."""
+    """(keys, name, pct) for every non-null value; `pct` is pandas' `rank(pct=True)`.
+
+    The long rows are exchanged once, by value range, and ranked inside their range; the exact number of
+    rows below a range is a prefix sum over counts per range. A value with a noticeable share of the rows
+    closes a range of its own, so its rank follows from the counts alone and its rows are not exchanged."""
     long = long_values(df, keys, columns)
     sizes = column_sizes(long)
-    table = value_percentiles(long, sizes, range_rows)
-    split = max(sizes.values(), default=0) > range_rows
-    hot = F.col("c") * HOT_SHARE >= F.col("n")
-    return lookup_by_value(long, table, ["name", "value"], hot, split).select(*keys, "name", "pct")
+    largest = max(sizes.values(), default=0)
+    spark = long.sparkSession
+    peers = Window.partitionBy("name", "range").orderBy("value").rangeBetween(Window.currentRow, Window.currentRow)
+    inside = Window.partitionBy("name", "range").orderBy("value")
+    # Rows below in the range, then half of the equal ones and of the row itself.
+    rank = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / F.lit(2.0)
+    if largest <= range_rows:
+        n = pa.table({"name": pa.array(list(sizes), pa.string()), "n": pa.array(list(sizes.values()), pa.int64())})
+        ranked = long.withColumn("range", F.lit(0)).withColumn("rank", rank)
+        ranked = ranked.join(F.broadcast(spark.createDataFrame(n)), "name")
+        return ranked.select(*keys, "name", (F.col("rank") / F.col("n")).alias("pct"))
+    ranged = _with_range(long, _grid(long, max(2 * NOTICEABLE, math.ceil(largest / range_rows))))
+    # Two counters for every range: bounded by the grid, not by the rows.
+    counts = {(r["name"], r["range"], r["edge"]): r["n"] for r in _range_counts(ranged)}
+    offsets: dict[str, list] = {k: [] for k in ("name", "range", "n", "before", "whole", "edge_pct")}
+    reached: dict[str, int] = {}
+    for name, number in sorted({k[:2] for k in counts}):
+        before, n = reached.get(name, 0), sizes[name]
+        inner, equal = counts.get((name, number, False), 0), counts.get((name, number, True), 0)
+        values = (name, number, n, before, equal * NOTICEABLE >= n, (before + inner + (equal + 1) / 2) / n)
+        for column, v in zip(offsets.values(), values, strict=True):
+            column.append(v)
+        reached[name] = before + inner + equal
+    table = spark.createDataFrame(pa.table(offsets)).withColumn("range", F.col("range").cast("int"))
+    placed = ranged.join(F.broadcast(table), ["name", "range"])
+    apart = F.col("edge") & F.col("whole")
+    ranked = placed.where(~apart).withColumn("pct", (F.col("before") + rank) / F.col("n"))
+    return ranked.select(*keys, "name", "pct").unionByName(
+        placed.where(apart).select(*keys, "name", F.col("edge_pct").alias("pct"))
+    )
+
+
+def _range_counts(ranged: DataFrame) -> list:
+    return ranged.groupBy("name", "range", "edge").agg(F.count(F.lit(1)).alias("n")).collect()
