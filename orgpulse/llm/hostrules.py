@@ -3,11 +3,15 @@
 Every document is measured once. Rule failures are added up per host (a `source` column, or any other
 the caller names), each host's failure rate is shrunk towards the rate of all hosts with a beta prior
 whose two parameters are estimated from the hosts themselves, and the verdicts on hosts are joined back
-to the documents.
+to the documents. A host is judged against that prior: its rate has to be worse than several times what
+is usual, with the certainty that its number of documents gives.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,12 @@ REPEATED_PERCENT = 50
 SYMBOL_PERCENT = 30  # symbols per characters of words
 DUPLICATE_LINE_PERCENT = 50
 HOT_SHARE = 1_000  # a host with at least a thousandth of the rows is hot; there are at most a thousand
-HOST_LIMIT = 0.6  # a host with a higher shrunk failure rate is refused
+# A host is refused where the lower bound of its failure rate, `SURE` standard deviations of the posterior
+# below its mean, exceeds `WORSE` times the mean of all hosts; that limit stays between the two given here.
+WORSE = 4.0
+SURE = 3.0
+LIMITS = (0.25, 0.9)
+MOST_STRENGTH = 100.0  # documents the prior weighs at most, so that clean hosts do not hide a bad one
 MIN_HOSTS = 3  # with fewer hosts a prior cannot be estimated; a weak uniform one is used
 _SPACE = r"[ \t-\r]+"
 
@@ -103,11 +112,12 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
-def host_verdicts(docs: DataFrame, names: list[str], limit: float) -> DataFrame:
+def host_verdicts(docs: DataFrame, names: list[str], worse: float = WORSE, sure: float = SURE) -> DataFrame:
     """(host, n_docs, <rule>_rate ..., refused): shrunk failure rates from 0/1 columns `names`.
 
     The beta prior of a rule has the mean m of the host rates and, by moments, the strength
-    m(1-m)/v - 1, where v is the variance of the rates beyond what binomial counts explain."""
+    m(1-m)/v - 1, where v is the variance of the rates beyond what binomial counts explain. A host is
+    refused if for some rule its posterior, by its mean and standard deviation, lies beyond the limit."""
     hosts = stage(
         docs.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(F.col(r).cast("int")).alias(r) for r in names]), "hosts"
     )
@@ -116,17 +126,20 @@ def host_verdicts(docs: DataFrame, names: list[str], limit: float) -> DataFrame:
         rate = F.col(r) / F.col("n_docs")
         facts += [F.avg(rate), F.var_pop(rate), F.avg(rate * (1 - rate) / F.col("n_docs"))]
     row = hosts.agg(F.count("*"), *facts).first()
-    rates = []
+    rates, beyond_limit = [], []
     for k, r in enumerate(names):
         mean, var, noise = (row[1 + 3 * k + j] for j in range(3))
         mean = min(max(mean or 0.0, 1e-4), 1 - 1e-4)
         beyond = max((var or 0.0) - (noise or 0.0), 1e-6)
-        strength = min(max(mean * (1 - mean) / beyond - 1, 2.0), 1e4) if row[0] >= MIN_HOSTS else 2.0
+        strength = min(max(mean * (1 - mean) / beyond - 1, 2.0), MOST_STRENGTH) if row[0] >= MIN_HOSTS else 2.0
         if row[0] < MIN_HOSTS:
             mean = 0.5
-        rates.append(((F.col(r) + mean * strength) / (F.col("n_docs") + strength)).alias(f"{r}_rate"))
-    judged = hosts.select("host", "n_docs", *rates)
-    return judged.withColumn("refused", F.greatest(*[F.col(f"{r}_rate") for r in names], F.lit(0.0)) > limit)
+        weight = F.col("n_docs") + strength
+        rate = (F.col(r) + mean * strength) / weight
+        limit = min(max(worse * mean, LIMITS[0]), LIMITS[1])
+        rates.append(rate.alias(f"{r}_rate"))
+        beyond_limit.append((rate - sure * F.sqrt(rate * (1 - rate) / (weight + 1))) > limit)
+    return hosts.select("host", "n_docs", *rates, reduce(or_, beyond_limit, F.lit(False)).alias("refused"))
 
 
 def with_verdicts(found: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -142,14 +155,14 @@ def with_verdicts(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     return common.unionByName(rest).drop("_host")
 
 
-def host_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", worse: float = WORSE, sure: float = SURE) -> DataFrame:
     """Per row of `docs` (doc_id, text, `host`): the measures, base_failed, host_refused, kept.
 
     A null or empty text has no words and fails the base rule. Rows without a host form a host of
     their own. Repeated rows count each. An empty table gives an empty result."""
     found = stage(measured(docs, host).withColumns(rules()), "measures")
     names = list(rules())
-    joined = with_verdicts(found, host_verdicts(found, names, limit))
+    joined = with_verdicts(found, host_verdicts(found, names, worse, sure))
     failed = F.col("short") | F.col("repeated")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -195,10 +195,14 @@ prior AS (
 beta AS (
   SELECT k, CASE WHEN hosts < {hostrules.MIN_HOSTS} THEN 0.5 ELSE mean END AS mean,
     CASE WHEN hosts < {hostrules.MIN_HOSTS} THEN 2.0
-      ELSE least(greatest(mean * (1 - mean) / beyond - 1, 2.0), 1e4) END AS strength FROM prior),
+      ELSE least(greatest(mean * (1 - mean) / beyond - 1, 2.0), {hostrules.MOST_STRENGTH}) END AS strength FROM prior),
+posterior AS (
+  SELECT source, (bad + mean * strength) / (n + strength) AS rate, n + strength + 1 AS weight,
+    least(greatest({hostrules.WORSE} * mean, {hostrules.LIMITS[0]}), {hostrules.LIMITS[1]}) AS limit_
+  FROM host JOIN beta USING (k)),
 verdict AS (
-  SELECT source, MAX((bad + mean * strength) / (n + strength)) > {hostrules.HOST_LIMIT} AS refused
-  FROM host JOIN beta USING (k) GROUP BY source)
+  SELECT source, bool_or(rate - {hostrules.SURE} * sqrt(rate * (1 - rate) / weight) > limit_) AS refused
+  FROM posterior GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 + r2 > 0 AS base_failed,
   r1 + r2 = 0 AND NOT refused AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
