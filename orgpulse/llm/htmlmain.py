@@ -2,8 +2,8 @@
 
 A page becomes a row of text blocks. A classifier turns each block's features (its text, and the element
 or class hint it lies in) into two costs, that of calling it content and that of calling it boilerplate;
-they are the capacities to the two terminals of a graph. The two kinds of features weigh about the same,
-so where they disagree the ties decide. Neighbouring blocks and blocks of one DOM parent are tied by smoothness edges. The maximum flow
+they are the capacities to the two terminals of a graph. Text weighs more than the place, so clear text
+outweighs its element, and pages without any known element are read by their text. Neighbouring blocks and blocks of one DOM parent are tied by smoothness edges. The maximum flow
 cuts content from boilerplate. Blocks whose own costs outweigh all their ties are decided first, which
 leaves the cut unchanged and the graph small.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -27,8 +27,17 @@ from orgpulse.llm.common import bounded_batches, free_name, texts
 TRAINING_PAGES = 2_000  # about so many pages, chosen by a hash, train the content features
 NEXT_TIE = 0.6  # smoothness between neighbouring blocks
 PARENT_TIE = 0.8  # more between neighbours with one parent
-LIMIT = 3.0  # largest log odds of a text feature or a place
+LIMIT = 3.0  # largest log odds of a text feature
+PLACE_LIMIT = 2.0  # largest log odds of a place: clear text outweighs it
 PLACE_BLOCKS = 20.0  # the expected odds of a place count as so many blocks
+TEXT_BLOCKS = 20.0  # what is expected of a text feature counts as so many blocks
+# What is expected of text features without any page to learn from, as log odds: by length (a step is a
+# factor of about 3.2), share of linked characters (none, some, most), sentence end, and element group
+# (paragraph, heading, list item, other).
+BY_LENGTH = (-2.0, -1.5, -1.0, -0.3, 1.0, 1.8)
+BY_LINKS = (0.3, -0.5, -2.5)
+BY_END = (-0.7, 0.7)
+BY_GROUP = (0.5, 0.3, -0.3, 0.0)
 
 # The alternatives in order: comment, other declaration, tag with quoted attributes.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -139,6 +148,7 @@ def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order, white space collapsed, character references decoded, empty ones left out."""
     page = _Page()
     stack = [_Open("", NEITHER, 0)]
+    held: Counter[str] = Counter()  # how many elements of a tag are open
     numbers = 0
     in_link = False
     at = 0
@@ -152,6 +162,11 @@ def blocks_of(html: str) -> list[Block]:
             if in_link:
                 page.linked += len(raw.strip())
 
+    def close_last() -> str:
+        tag = stack.pop().tag
+        held[tag] -= 1
+        return tag
+
     def close() -> None:
         text = _SPACE.sub(" ", unescape("".join(page.words))).strip()
         if text:
@@ -178,9 +193,9 @@ def blocks_of(html: str) -> list[Block]:
             continue
         close()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if held[tag]:  # a stray end tag closes nothing
+                while close_last() != tag:
+                    pass
             in_link = False
             continue
         if tag in RAW:
@@ -193,10 +208,11 @@ def blocks_of(html: str) -> list[Block]:
         # A paragraph, item or cell ends an open one of its kind within the same container.
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or re.fullmatch("h[1-6]", tag):
             while stack[-1].tag == "p" or stack[-1].tag == tag:
-                stack.pop()
+                close_last()
         elif stack[-1].tag == "p":
-            stack.pop()
+            close_last()
         numbers += 1
+        held[tag] += 1
         stack.append(_Open(tag, _place(tag, m[3], stack[-1].place), numbers))
     close()
     return page.blocks
@@ -214,19 +230,29 @@ def features(block: Block) -> int:
 FEATURES = 6 * 3 * 2 * 4
 
 
+def expected_text() -> np.ndarray:
+    """Log odds of content for every text feature before any page is seen."""
+    parts = np.meshgrid(BY_LENGTH, BY_LINKS, BY_END, BY_GROUP, indexing="ij")
+    return np.clip(sum(parts).ravel(), -LIMIT, LIMIT)
+
+
 def learn(counts: np.ndarray) -> np.ndarray:
     """Log odds of content for every text feature, then for every place, from counts (place, feature).
 
-    Places that name content or boilerplate label the blocks for the text features. The odds of a place
+    Places that name content or boilerplate label the blocks for the text features; to these counts comes
+    what is expected of a feature, which alone holds where pages have no such places. The odds of a place
     are then those the text features give to its blocks, together with what is expected of it."""
     expected = np.array(PLACES)
-    table = np.array([counts[expected < 0.5].sum(axis=0), counts[expected > 0.5].sum(axis=0)]) + 0.5
-    share = table / table.sum(axis=1, keepdims=True)
-    text = np.clip(np.log(share[1] / share[0]), -LIMIT, LIMIT)
+    table = np.array([counts[expected < 0.5].sum(axis=0), counts[expected > 0.5].sum(axis=0)])
+    share = (table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)
+    content, seen = share[1] / share.sum(axis=0), table.sum(axis=0)
+    likely = 1 / (1 + np.exp(-expected_text()))
+    text = np.log(seen * content + TEXT_BLOCKS * likely) - np.log(seen * (1 - content) + TEXT_BLOCKS * (1 - likely))
+    text = np.clip(text, -LIMIT, LIMIT)
     content = counts @ (1 / (1 + np.exp(-text)))
     odds = np.log(content + PLACE_BLOCKS * expected) - np.log(counts.sum(axis=1) - content + PLACE_BLOCKS * (1 - expected))
     odds[NEITHER] = 0
-    return np.concatenate([text, np.clip(odds, -LIMIT, LIMIT)])
+    return np.concatenate([text, np.clip(odds, -PLACE_LIMIT, PLACE_LIMIT)])
 
 
 def train(pages: DataFrame, sample: int = TRAINING_PAGES) -> np.ndarray:
@@ -283,11 +309,18 @@ def label(blocks: list[Block], odds: np.ndarray) -> list[bool]:
                     costs[j] += weight if side[i] else -weight
                     free[j] -= weight
                     queue.append(j)
-    open_ones = [i for i in range(n) if side[i] is None]
-    if open_ones:
-        number = {i: k for k, i in enumerate(open_ones)}
-        edges = [(number[i], number[j], w) for i in open_ones for j, w in ties[i].items() if i < j and side[j] is None]
-        for i, content in zip(open_ones, minimum_cut([costs[i] for i in open_ones], edges), strict=True):
+    # Decided blocks part the others into components, each with a cut of its own.
+    for first in range(n):
+        if side[first] is not None:
+            continue
+        number, queue = {first: 0}, deque([first])
+        while queue:
+            for j in ties[queue.popleft()]:
+                if side[j] is None and j not in number:
+                    number[j] = len(number)
+                    queue.append(j)
+        edges = [(k, number[j], w) for i, k in number.items() for j, w in ties[i].items() if j in number and i < j]
+        for i, content in zip(number, minimum_cut([costs[i] for i in number], edges), strict=True):
             side[i] = content
     return [bool(s) for s in side]
 
@@ -333,8 +366,11 @@ def main_text(html: str, odds: np.ndarray) -> str:
 def extract(pages: DataFrame, odds: np.ndarray | None = None) -> DataFrame:
     """`pages` (an `html` column, any others) with a new last column `main_text`.
 
-    Null and empty pages, and pages of boilerplate alone, give an empty text. Without trained log odds
-    they are learned from `pages`. A clash with a column `main_text` is avoided by underscores."""
+    Null and empty pages, and pages of boilerplate alone, give an empty text; an empty table gives an empty
+    result, repeated pages repeat theirs. Pages are read whole, in time that grows with their length, but
+    for the cut of a long run of undecided blocks. Without trained log odds they are learned from `pages`;
+    what is expected of texts holds where the pages teach nothing. A clash with a column `main_text` is
+    avoided by underscores."""
     bounded_batches(pages.sparkSession)
     learned = train(pages) if odds is None else odds
 
