@@ -307,6 +307,7 @@ res AS (SELECT c_custkey::VARCHAR AS source, n.canonical, n.label, b.shown AS or
   LEFT JOIN best b ON b.layout = c_custkey % {len(LAYOUTS)} AND b.canonical = n.canonical AND b.rn = 1)
 """
 ORACLES["resolution_report"] = _resolution + "SELECT * FROM res"
+ORACLES["resolution_many_layouts"] = ORACLES["resolution_report"]  # a further header changes no column
 ORACLES["unresolved_columns"] = _resolution + "SELECT source, canonical, label FROM res WHERE NOT found"
 
 # ---- cleaning ---------------------------------------------------------------------------------

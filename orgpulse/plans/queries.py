@@ -107,6 +107,13 @@ def resolution_report(spark, sf_dir):
     return schema.resolution_report(raw.header_layouts(spark, sf_dir))
 
 
+@query
+def resolution_many_layouts(spark, sf_dir):
+    """The same where every source has a layout of its own."""
+    own = F.array_append("headers", F.concat(F.lit("note "), "source"))
+    return schema.resolution_report(raw.header_layouts(spark, sf_dir).withColumn("headers", own))
+
+
 @query
 def unresolved_columns(spark, sf_dir):
     return schema.unresolved(schema.resolution_report(raw.header_layouts(spark, sf_dir)))

@@ -1,7 +1,7 @@
 """Resolving free-form headers to canonical columns, and projecting rows to them.
 
-Every header row is matched by one projection: the patterns are constants of the job, so no header
-is joined to a pattern table and nothing is shuffled.
+Distinct headers form a dictionary: each is matched once against all patterns, which are constants of the
+job. A source's layout is then the least entry of its headers for every canonical column.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.config import REPORT_COLUMNS, ReportColumn
+from orgpulse.functions.ranking import lookup_by_value
 from orgpulse.sources.sheets import broadcast_if_few
+from orgpulse.staging import stage
 
-
-# Header layouts (a few kilobytes each) that may be broadcast.
-MAX_LAYOUTS = 2_000
+# A header with at least 1/SHARED of all header cells is looked up by broadcast; there can be at most SHARED.
+SHARED = 1_000
 
 
 def distinct_headers(headers: Column) -> Column:
@@ -48,11 +49,6 @@ def _first(flags: Column) -> Column:
     return F.nullif(F.array_position(flags, True), F.lit(0).cast("long")) - 1
 
 
-def _last(flags: Column) -> Column:
-    back = F.nullif(F.array_position(F.reverse(flags), True), F.lit(0).cast("long"))
-    return F.size(flags) - back
-
-
 def _constants(columns: Sequence[ReportColumn]) -> Column:
     """The column map as one constant array, folded by the optimizer."""
     spec = [{"canonical": c.name, "label": c.label, "patterns": list(c.patterns)} for c in columns]
@@ -62,43 +58,57 @@ def _constants(columns: Sequence[ReportColumn]) -> Column:
     )
 
 
-def _match_index(normal: Column, patterns: Column) -> Column:
-    """Index of the header a column resolves to: any exact equality first, then regex search;
-    patterns in order, headers in order."""
+def header_dictionary(found: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
+    """`found` (normal, ...) with `hits`, the canonical columns that a normalised header can stand for:
+    number of the column, pass (0: equal to a pattern, 1: found by one) and number of that pattern.
+    Headers that stand for nothing are left out."""
 
-    def equal(p: Column) -> Column:
-        return _last(F.transform(normal, lambda h: h == p))
+    def hit(c: Column, number: Column) -> Column:
+        equal = F.nullif(F.array_position(c["patterns"], F.col("normal")), F.lit(0).cast("long")) - 1
+        similar = _first(F.transform(c["patterns"], lambda p: F.rlike(F.col("normal"), F.concat(F.lit("(?iu)"), p))))
 
-    def similar(p: Column) -> Column:
-        return _first(F.transform(normal, lambda h: F.rlike(h, F.concat(F.lit("(?iu)"), p))))
+        def at(step: int, pattern: Column) -> Column:
+            return F.struct(
+                number.alias("column"), F.lit(step).alias("pass"), pattern.cast("int").alias("pattern")
+            )
 
-    def first_hit(search) -> Column:
-        return F.get(F.filter(F.transform(patterns, search), lambda i: i.isNotNull()), F.lit(0))
+        return F.when(equal.isNotNull(), at(0, equal)).when(similar.isNotNull(), at(1, similar))
 
-    return F.coalesce(first_hit(equal), first_hit(similar))
-
-
-def _resolve_each(layouts: DataFrame, columns: Sequence[ReportColumn]) -> DataFrame:
-    prepared = layouts.withColumn("raw", distinct_headers(F.col("headers"))).withColumn(
-        "normal", F.transform("raw", normal_header)
-    )
-    indexes = F.transform(_constants(columns), lambda c: _match_index(F.col("normal"), c["patterns"]).cast("int"))
-    return prepared.withColumn("positions", indexes).drop("normal")
+    hits = F.filter(F.transform(_constants(columns), hit), lambda h: h.isNotNull())
+    return found.withColumn("hits", hits).where(F.size("hits") > 0)
 
 
 def resolve(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
     """(source, raw, positions): for every source the header index of each canonical column.
 
-    Sources mostly share a few header layouts. While those are few, each layout is matched once and
-    handed back to its sources by broadcast; otherwise every source is matched on its own.
+    Patterns are tried in order, first for equality (of equal headers the last one counts), then by
+    search (the first one counts). Every distinct layout is taken apart once and every distinct header
+    matched once, whatever their numbers; a layout takes for each column the least (pass, pattern, place)
+    of its headers. What many rows share is looked up by broadcast, its number is bounded by that share.
     """
     rows = headers.select("source", "headers")
-    layouts = rows.select("headers").distinct()
-    if layouts.limit(MAX_LAYOUTS + 1).count() <= MAX_LAYOUTS:
-        matched = rows.join(F.broadcast(_resolve_each(layouts, columns)), "headers")
-    else:
-        matched = _resolve_each(rows, columns)
-    return matched.select("source", "raw", "positions")
+    # Written tables keep the matching behind the grouping: as one plan it would run before it, on every cell.
+    counted = rows.groupBy("headers").agg(F.count(F.lit(1)).alias("n")).withColumn("layout", F.monotonically_increasing_id())
+    layouts = stage(counted.withColumn("raw", distinct_headers(F.col("headers"))), "layouts")
+    places = layouts.select("layout", F.posexplode("raw").alias("at", "header"))
+    places = stage(places.select("layout", "at", normal_header(F.col("header")).alias("normal")), "headerplaces")
+    words = stage(places.groupBy("normal").agg(F.count(F.lit(1)).alias("n")), "headers")
+    dictionary = stage(header_dictionary(words, columns), "headerdictionary")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    matched = lookup_by_value(places, dictionary, ["normal"], F.col("n") * SHARED >= total, split=True)
+    hits = matched.select("layout", "at", F.inline("hits"))
+    order = F.struct("pass", "pattern", F.when(F.col("pass") == 0, -F.col("at")).otherwise(F.col("at")).alias("tie"), "at")
+    best = hits.groupBy("layout", "column").agg(F.min(order).alias("best"))
+    found = best.groupBy("layout").agg(F.map_from_entries(F.collect_list(F.struct("column", "best.at"))).alias("found"))
+    positions = F.transform(
+        F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.try_element_at(F.col("found"), i).cast("int")
+    )
+    none = F.array_repeat(F.lit(None).cast("int"), len(columns))
+    resolved = layouts.join(found, "layout", "left").select("headers", "n", "raw", F.coalesce(positions, none).alias("positions"))
+    resolved = stage(resolved, "resolved")
+    sources = resolved.agg(F.sum("n")).first()[0] or 0
+    looked_up = lookup_by_value(rows, resolved, ["headers"], F.col("n") * SHARED >= sources, split=True)
+    return looked_up.select("source", "raw", "positions")
 
 
 def resolution_report(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS) -> DataFrame:
