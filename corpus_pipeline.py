@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Classifiers, tokenisation and bin packing are not SQL; tests/llm holds the brute-force version.
+# Classifiers, tokenisation and bin packing are not SQL; tests/llm checks the operators and what each stage drops.
 ORACLE_SQL = None
 
 
