@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgpulse.functions.stats import SEPARATOR, long_values
+
 # Distinct values one running-sum task may hold before the histogram is cut into ranges.
 RANGE_ROWS = 2_000_000
 MAX_RANGES = 1024
@@ -25,12 +27,6 @@ HOT_SHARE = 2_000
 NOTICEABLE = 500
 
 
-def long_values(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """(keys, name, value) with one row per non-null value."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])
-    return df.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
-
-
 def _range_edges(long: DataFrame, ranges: int) -> DataFrame:
     """Two-level search table per column: coarse edges, and fine edges inside each coarse cell."""
     side = max(2, math.ceil(math.sqrt(ranges)))
@@ -170,13 +166,19 @@ def average_rank_percentile(
     keys: Sequence[str],
     columns: dict[str, Column],
     range_rows: int = RANGE_ROWS,
+    by: Column | None = None,
 ) -> DataFrame:
-    """(keys, name, pct) for every non-null value; `pct` is pandas' `rank(pct=True)`.
+    """(keys, name, pct) for every non-null value; `pct` is pandas' `rank(pct=True)`, of the value among
+    all or, with `by`, a column of few distinct values, among those of its group.
 
     The long rows are exchanged once, by value range, and ranked inside their range; the exact number of
     rows below a range is a prefix sum over counts per range. A value with a noticeable share of the rows
     closes a range of its own, so its rank follows from the counts alone and its rows are not exchanged."""
-    long = long_values(df, keys, columns)
+    ranked = _ranked(long_values(df, keys, columns, by), keys, range_rows)
+    return ranked if by is None else ranked.withColumn("name", F.substring_index("name", SEPARATOR, -1))
+
+
+def _ranked(long: DataFrame, keys: Sequence[str], range_rows: int) -> DataFrame:
     sizes = column_sizes(long)
     largest = max(sizes.values(), default=0)
     spark = long.sparkSession

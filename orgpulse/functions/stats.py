@@ -24,6 +24,15 @@ BRACKET_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 
 
+# Separates a group from a column in the name of a grouped column; no group name holds it.
+SEPARATOR = "\x1f"
+
+
+def grouped_name(by: Column | None, name: str) -> Column:
+    """The name a value goes by: that of its column, after its group where there are groups."""
+    return F.lit(name) if by is None else F.concat(by.cast("string"), F.lit(SEPARATOR + name))
+
+
 @dataclass(frozen=True)
 class Order:
     """One order statistic: its value, the number of smaller values, and its multiplicity."""
@@ -49,14 +58,22 @@ def _local(df: DataFrame, table: pa.Table) -> DataFrame:
     return df.sparkSession.createDataFrame(table)
 
 
-def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+def long_values(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, Column], by: Column | None = None
+) -> DataFrame:
+    """(keys, name, value) with one row per non-null value, rows without a group left out."""
+    named = [F.struct(grouped_name(by, n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()]
+    long = df.select(*keys, F.inline(F.array(*named))).where(F.col("value").isNotNull())
+    return long if by is None else long.where(F.col("name").isNotNull())
 
 
-def _counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]:
-    row = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
-    return {n: row[n] for n in columns}
+def _counts(df: DataFrame, columns: dict[str, Column], by: Column | None) -> dict[str, int]:
+    counts = [F.count(c).alias(n) for n, c in columns.items()]
+    if by is None:
+        row = df.agg(*counts).first()
+        return {n: row[n] for n in columns}
+    rows = df.where(by.isNotNull()).groupBy(by.cast("string").alias("group")).agg(F.struct(*counts).alias("n")).collect()
+    return {r["group"] + SEPARATOR + n: r["n"][n] for r in rows for n in columns}
 
 
 def _bracket_table(df: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
@@ -78,15 +95,17 @@ def _bracket_table(df: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
     )
 
 
-def _inside(df: DataFrame, columns: dict[str, Column], brackets: Sequence[_Bracket]) -> DataFrame:
-    used = {b.column for b in brackets}
-    rows = _long(df, {n: c for n, c in columns.items() if n in used})
+def _inside(
+    df: DataFrame, columns: dict[str, Column], by: Column | None, brackets: Sequence[_Bracket]
+) -> DataFrame:
+    used = {b.column.rpartition(SEPARATOR)[2] for b in brackets}
+    rows = long_values(df, [], {n: c for n, c in columns.items() if n in used}, by)
     on = (F.col("name") == F.col("b_name")) & (F.col("value") > F.col("b_low")) & (F.col("value") < F.col("b_high"))
     return rows.join(_bracket_table(df, brackets), on).select("b_no", "value")
 
 
 def _narrow(
-    df: DataFrame, columns: dict[str, Column], brackets: Sequence[_Bracket]
+    df: DataFrame, columns: dict[str, Column], by: Column | None, brackets: Sequence[_Bracket]
 ) -> tuple[list[_Bracket], dict[tuple[str, int], Order]]:
     """One sketch pass and one counting pass over the given brackets."""
     found: dict[tuple[str, int], Order] = {}
@@ -100,7 +119,7 @@ def _narrow(
         asked[no] = sorted(shares)
     all_shares = sorted({s for shares in asked.values() for s in shares})
     sketch = (
-        _inside(df, columns, brackets)
+        _inside(df, columns, by, brackets)
         .groupBy("b_no")
         .agg(F.percentile_approx("value", all_shares, SKETCH_ACCURACY).alias("q"))
         .collect()
@@ -122,7 +141,7 @@ def _narrow(
         )
     )
     counted = (
-        _inside(df, columns, brackets)
+        _inside(df, columns, by, brackets)
         .join(table, F.col("b_no") == F.col("e_no"))
         .groupBy("b_no", "edge")
         .agg(
@@ -158,13 +177,16 @@ def order_statistics(
     columns: dict[str, Column],
     positions: Callable[[str, int], Sequence[int]],
     bracket_rows: int = BRACKET_ROWS,
+    by: Column | None = None,
 ) -> tuple[dict[str, int], dict[tuple[str, int], Order]]:
     """Exact values at 1-based sorted positions of several nullable columns.
 
     `positions(name, n)` gets the number of non-null values and returns the wanted positions.
-    Returns the non-null counts and the statistic for every (name, position).
+    Returns the non-null counts and the statistic for every (name, position). With `by`, a column of
+    few distinct values, each group's part of a column is a column of its own, named after both; all
+    groups share the same passes, and rows without a group belong to none.
     """
-    sizes = _counts(df, columns)
+    sizes = _counts(df, columns, by)
     brackets = []
     for name, n in sizes.items():
         wanted = tuple(sorted({p for p in positions(name, n) if 1 <= p <= n}))
@@ -174,14 +196,14 @@ def order_statistics(
     found: dict[tuple[str, int], Order] = {}
     while any(b.size > bracket_rows for b in brackets):
         wide = [b for b in brackets if b.size > bracket_rows]
-        narrowed, hit = _narrow(df, columns, wide)
+        narrowed, hit = _narrow(df, columns, by, wide)
         found |= hit
         brackets = [b for b in brackets if b.size <= bracket_rows] + narrowed
     if brackets:
         w = Window.partitionBy("b_no").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         hits = F.exists("b_positions", lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("c")))
         rows = (
-            _inside(df, columns, brackets)
+            _inside(df, columns, by, brackets)
             .groupBy("b_no", "value")
             .agg(F.count(F.lit(1)).alias("c"))
             .withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
@@ -205,27 +227,30 @@ def _quantile_positions(q: float, n: int) -> tuple[int, int, float]:
     return low + 1, min(low + 2, n), at - low
 
 
-def quantiles_and_cuts(
-    df: DataFrame,
-    wanted: dict[str, tuple[Column, Sequence[float]]],
-    cuts: dict[str, tuple[Column, Sequence[float]]],
-    bracket_rows: int = BRACKET_ROWS,
-) -> tuple[dict[tuple[str, float], float | None], dict[str, tuple[float, ...]]]:
-    """Both kinds of statistics (see :func:`quantiles`, :func:`percentile_cuts`) in the same passes."""
-    q_names = {f"q {n}": n for n in wanted}
-    c_names = {f"c {n}": n for n in cuts}
-    columns = {k: wanted[n][0] for k, n in q_names.items()} | {k: cuts[n][0] for k, n in c_names.items()}
+Quantiles = dict[tuple[str, float], float | None]
+Cuts = dict[str, tuple[float, ...]]
+Wanted = dict[str, tuple[Column, Sequence[float]]]
+
 
-    def near(share: float, n: int) -> range:
-        at = math.floor(share * n)
-        return range(max(at - 1, 1), min(at + 2, n) + 1)
+def _near(share: float, n: int) -> range:
+    """The positions that can hold the last value within a share."""
+    at = math.floor(share * n)
+    return range(max(at - 1, 1), min(at + 2, n) + 1)
+
+
+def _quantiles_and_cuts(
+    df: DataFrame, wanted: Wanted, cuts: Wanted, bracket_rows: int, by: Column | None
+) -> dict[str, tuple[Quantiles, Cuts]]:
+    """Both kinds of statistics by group; without groups, those of the group without a name."""
+    columns = {f"q {n}": c for n, (c, _) in wanted.items()} | {f"c {n}": c for n, (c, _) in cuts.items()}
 
     def positions(name: str, n: int) -> list[int]:
-        if name in q_names:
-            return [p for q in wanted[q_names[name]][1] for p in _quantile_positions(q, n)[:2]]
-        return [p for s in cuts[c_names[name]][1] for p in near(s, n)]
+        kind, _, column = name.rpartition(SEPARATOR)[2].partition(" ")
+        if kind == "q":
+            return [p for q in wanted[column][1] for p in _quantile_positions(q, n)[:2]]
+        return [p for s in cuts[column][1] for p in _near(s, n)]
 
-    sizes, found = order_statistics(df, columns, positions, bracket_rows)
+    sizes, found = order_statistics(df, columns, positions, bracket_rows, by)
 
     def quantile(name: str, q: float) -> float | None:
         if not sizes[name]:
@@ -238,17 +263,36 @@ def quantiles_and_cuts(
 
     def cut(name: str, share: float) -> float:
         n = sizes[name]
-        around = [found[(name, p)] for p in near(share, n)]
+        around = [found[(name, p)] for p in _near(share, n)]
         within = [o.value for o in around if (o.before + (o.count + 1) / 2) / n <= share]
         if within:
             return max(within)
         # Everything below the nearest tie group is within the share, the group itself is not.
         return float(np.nextafter(min(o.value for o in around), -np.inf)) if around else -math.inf
 
-    return (
-        {(n, q): quantile(k, q) for k, n in q_names.items() for q in wanted[n][1]},
-        {n: tuple(cut(k, s) for s in cuts[n][1]) for k, n in c_names.items()},
-    )
+    prefixes = {name.rpartition(SEPARATOR)[0]: name[: name.rfind(SEPARATOR) + 1] for name in sizes}
+    return {
+        group: (
+            {(n, q): quantile(f"{prefix}q {n}", q) for n, (_, qs) in wanted.items() for q in qs},
+            {n: tuple(cut(f"{prefix}c {n}", s) for s in shares) for n, (_, shares) in cuts.items()},
+        )
+        for group, prefix in prefixes.items()
+    }
+
+
+def quantiles_and_cuts(
+    df: DataFrame, wanted: Wanted, cuts: Wanted, bracket_rows: int = BRACKET_ROWS
+) -> tuple[Quantiles, Cuts]:
+    """Both kinds of statistics (see :func:`quantiles`, :func:`percentile_cuts`) in the same passes."""
+    return _quantiles_and_cuts(df, wanted, cuts, bracket_rows, None).get("", ({}, {}))
+
+
+def grouped_quantiles_and_cuts(
+    df: DataFrame, by: Column, wanted: Wanted, cuts: Wanted, bracket_rows: int = BRACKET_ROWS
+) -> dict[str, tuple[Quantiles, Cuts]]:
+    """The same by group, keyed by the group as text, in as many passes as one group takes. The driver
+    holds some numbers for every group and column, so `by` has to be a column of few values."""
+    return _quantiles_and_cuts(df, wanted, cuts, bracket_rows, by)
 
 
 def quantiles(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,29 +88,62 @@ def copy_paste_texts(df: DataFrame) -> list[Column]:
     return [F.when(same, F.concat(F.lit(COPY_PASTE), C.python_float_text(F.array_min(values)), F.lit(")")))]
 
 
-def zero_large_texts(df: DataFrame, staff_p75: float) -> list[Column]:
+def _around(text: str, limit: Column) -> Column:
+    """A rule text around the limit as it is shown."""
+    before, after = text.split("{limit}")
+    return F.concat(F.lit(before), limit, F.lit(after))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The two limits that follow from the whole report, as columns, and how the texts show them."""
+
+    staff: Column
+    staff_shown: Column
+    ratio: Column
+    ratio_shown: Column
+
+    @classmethod
+    def of(cls, staff_p75: float, ratio_p99: float) -> Limits:
+        return cls(*[F.lit(v) for v in limit_values(staff_p75, ratio_p99).values()])
+
+
+def limit_values(staff_p75: float, ratio_p99: float) -> dict[str, float | str]:
+    return {
+        "staff": float(staff_p75),
+        "staff_shown": f"{staff_p75:.0f}",
+        "ratio": float(ratio_p99),
+        "ratio_shown": f"{ratio_p99:.4f}",
+    }
+
+
+def zero_large_texts(df: DataFrame, limits: Limits) -> list[Column]:
     """Nothing reported although the organisation is in the upper quarter by staff."""
-    large = C.number_or_zero(df, "staff_avg") > F.lit(float(staff_p75))
+    large = C.number_or_zero(df, "staff_avg") > limits.staff
     return [
-        F.when(large & (C.number_or_zero(df, name) == 0), text.format(limit=f"{staff_p75:.0f}"))
+        F.when(large & (C.number_or_zero(df, name) == 0), _around(text, limits.staff_shown))
         for name, text in (("violations_total", NO_VIOLATIONS), ("procurement_count", NO_PURCHASES))
         if _have(df, name, "staff_avg")
     ]
 
 
-def ratio_texts(df: DataFrame, ratio_p99: float) -> list[Column]:
+def ratio_texts(df: DataFrame, limits: Limits) -> list[Column]:
     if not _have(df, "violations_total", "fkhz_count"):
         return []
     ratio = C.safe_ratio(C.number_or_zero(df, "violations_total"), C.number_or_zero(df, "fkhz_count"))
-    return [F.when(ratio > F.lit(float(ratio_p99)), HIGH_RATIO.format(limit=f"{ratio_p99:.4f}"))]
+    return [F.when(ratio > limits.ratio, _around(HIGH_RATIO, limits.ratio_shown))]
 
 
 def anomalies(df: DataFrame, cfg: ScoringConfig, staff_p75: float, ratio_p99: float) -> Column:
+    return anomalies_within(df, cfg, Limits.of(staff_p75, ratio_p99))
+
+
+def anomalies_within(df: DataFrame, cfg: ScoringConfig, limits: Limits) -> Column:
     return join_texts(
         ceiling_texts(df, cfg)
         + copy_paste_texts(df)
-        + zero_large_texts(df, staff_p75)
-        + ratio_texts(df, ratio_p99)
+        + zero_large_texts(df, limits)
+        + ratio_texts(df, limits)
     )
 
 

@@ -8,7 +8,7 @@ rows, so the wide report itself is never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -19,9 +19,17 @@ from pyspark.sql import functions as F
 from orgpulse.config import OTHER_ORG_TYPE, RISK_GROUPS, ScoringConfig
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.ranking import RANGE_ROWS, average_rank_percentile, require_unique
-from orgpulse.functions.stats import BRACKET_ROWS, percentile_cuts, quantiles, quantiles_and_cuts
+from orgpulse.functions.stats import (
+    BRACKET_ROWS,
+    grouped_quantiles_and_cuts,
+    percentile_cuts,
+    quantiles,
+    quantiles_and_cuts,
+)
 from orgpulse.operators import flags
 
+YEAR = "analysis_year"
+
 
 @dataclass(frozen=True)
 class ReportStats:
@@ -122,21 +130,33 @@ def violation_ratio_p99(df: DataFrame) -> float:
     return _ratio_limit(quantiles(df, {"ratio": _tails(df)["ratio"]}))
 
 
+def _load_cuts(df: DataFrame, cfg: ScoringConfig) -> dict[str, tuple[Column, Sequence[float]]]:
+    return {m: (positive(m), cfg.level_cuts) for m in cfg.metrics if m in df.columns}
+
+
 def fit(df: DataFrame, cfg: ScoringConfig, bracket_rows: int = BRACKET_ROWS) -> ReportStats:
     prepared = prepare(df, cfg)
-    wanted = {m: (positive(m), cfg.level_cuts) for m in cfg.metrics if m in df.columns}
-    found, cuts = quantiles_and_cuts(prepared, _tails(prepared), wanted, bracket_rows)
+    found, cuts = quantiles_and_cuts(prepared, _tails(prepared), _load_cuts(df, cfg), bracket_rows)
     return ReportStats(cuts, _staff_limit(found), _ratio_limit(found))
 
 
+def fit_years(df: DataFrame, cfg: ScoringConfig, bracket_rows: int = BRACKET_ROWS) -> dict[int, ReportStats]:
+    """:func:`fit` of every year's report, in as many passes as one year takes."""
+    prepared = prepare(df, cfg)
+    by_year = grouped_quantiles_and_cuts(
+        prepared, F.col(YEAR), _tails(prepared), _load_cuts(df, cfg), bracket_rows
+    )
+    return {int(y): ReportStats(cuts, _staff_limit(q), _ratio_limit(q)) for y, (q, cuts) in by_year.items()}
+
+
 # ---- report-relative columns ------------------------------------------------------------------
 
 
-def level_of(value: Column, cuts: Sequence[float]) -> Column:
+def level_of(value: Column, cuts: Sequence[float | Column]) -> Column:
     """0 for non-positive values, then 1..4 by the fitted cut values."""
     out = F.when(value <= 0, 0)
     for level, cut in enumerate(cuts, start=1):
-        out = out.when(value <= F.lit(float(cut)), level)
+        out = out.when(value <= (cut if isinstance(cut, Column) else F.lit(float(cut))), level)
     return out.otherwise(len(cuts) + 1)
 
 
@@ -145,7 +165,7 @@ def percentile_level(score: Column, shares: Sequence[float]) -> Column:
     return level_of(score, shares)
 
 
-def with_load_levels(df: DataFrame, cfg: ScoringConfig, cuts: dict[str, tuple[float, ...]]) -> DataFrame:
+def with_load_levels(df: DataFrame, cfg: ScoringConfig, cuts: Mapping[str, Sequence[float | Column]]) -> DataFrame:
     def level(metrics: Sequence[str]) -> Column:
         levels = [level_of(F.col(m), cuts[m]) for m in metrics if m in cuts] + [F.lit(0)]
         return F.greatest(*levels) if len(levels) > 1 else levels[0]
@@ -163,10 +183,16 @@ def with_load_levels(df: DataFrame, cfg: ScoringConfig, cuts: dict[str, tuple[fl
 
 
 def load_scores(
-    prepared: DataFrame, cfg: ScoringConfig, keys: Sequence[str], present: Sequence[str], range_rows: int = RANGE_ROWS
+    prepared: DataFrame,
+    cfg: ScoringConfig,
+    keys: Sequence[str],
+    present: Sequence[str],
+    range_rows: int = RANGE_ROWS,
+    by: Column | None = None,
 ) -> DataFrame:
-    """(keys, <direction>_load_score): the largest metric percentile per direction, narrow rows only."""
-    ranks = average_rank_percentile(prepared, keys, {m: positive(m) for m in present}, range_rows)
+    """(keys, <direction>_load_score): the largest metric percentile per direction, narrow rows only;
+    with `by`, percentiles within its groups."""
+    ranks = average_rank_percentile(prepared, keys, {m: positive(m) for m in present}, range_rows, by)
     return ranks.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("name").isin(*d.metrics), F.col("pct"))).alias(f"{d.key}_load_score")
@@ -228,15 +254,17 @@ def with_recommended_form(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     )
 
 
-def peer_table(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Peer statistics for every (load profile, active count) that occurs.
+def peer_table(df: DataFrame, cfg: ScoringConfig, by: Sequence[str] = ()) -> DataFrame:
+    """Peer statistics for every (load profile, active count) that occurs, within `by`.
 
     The report is reduced once to a cube over levels (0-4), counts and form; its size is bounded by
-    the number of directions, not by the report, and the medians weigh the cube's counts.
+    the number of directions and the values of `by`, not by the report, and the medians weigh the
+    cube's counts.
     """
     levels = [f"{d.key}_load_level" for d in cfg.directions]
     counted = "org_name" if "org_name" in df.columns else df.columns[0]
     cube = df.groupBy(
+        *by,
         *levels,
         "max_direction_load_level",
         "active_directions_count",
@@ -250,9 +278,9 @@ def peer_table(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
         ),
     )
     groups = {
-        "profile": Window.partitionBy(*levels),
-        "max_act": Window.partitionBy("max_direction_load_level", "active_directions_count"),
-        "max": Window.partitionBy("max_direction_load_level"),
+        "profile": Window.partitionBy(*by, *levels),
+        "max_act": Window.partitionBy(*by, "max_direction_load_level", "active_directions_count"),
+        "max": Window.partitionBy(*by, "max_direction_load_level"),
     }
     heaviest = F.col("max_direction_load_level").cast("string")
     names = {
@@ -273,10 +301,11 @@ def peer_table(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     enough = lambda g: F.col(g)["size"] >= cfg.min_group_size
     chosen = F.when(enough("profile"), F.col("profile")).when(enough("max_act"), F.col("max_act")).otherwise(F.col("max"))
     return (
-        cube.select(*levels, "active_directions_count", *[s.alias(g) for g, s in stats.items()])
-        .dropDuplicates([*levels, "active_directions_count"])
+        cube.select(*by, *levels, "active_directions_count", *[s.alias(g) for g, s in stats.items()])
+        .dropDuplicates([*by, *levels, "active_directions_count"])
         .withColumn("peer", chosen)
         .select(
+            *by,
             *levels,
             "active_directions_count",
             F.col("peer.key").alias("peer_group_key"),
@@ -288,15 +317,16 @@ def peer_table(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
     )
 
 
-def with_peers(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Compare each organisation with those of a similar load, falling back to coarser groups."""
+def with_peers(df: DataFrame, cfg: ScoringConfig, by: Sequence[str] = (), groups: int = 1) -> DataFrame:
+    """Compare each organisation with those of a similar load, falling back to coarser groups; only
+    with those of the same `by`, which has at most `groups` values."""
     levels = [f"{d.key}_load_level" for d in cfg.directions]
-    table = peer_table(df, cfg)
+    table = peer_table(df, cfg, by)
     # 5 levels per direction and the active count bound the table; hint only while that is small.
-    if (len(cfg.level_cuts) + 2) ** len(levels) * (len(levels) + 1) <= 1_000_000:
+    if groups * (len(cfg.level_cuts) + 2) ** len(levels) * (len(levels) + 1) <= 1_000_000:
         table = F.broadcast(table)
     df = df.withColumn("load_profile", F.concat_ws("-", *[F.col(c).cast("string") for c in levels]))
-    df = df.join(table, [*levels, "active_directions_count"])
+    df = df.join(table, [*by, *levels, "active_directions_count"])
     return df.withColumn("form_vs_peer", F.col("svk_form_level") - F.col("peer_form_median"))
 
 
@@ -317,13 +347,13 @@ def with_risk_group(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_group", risk_group())
 
 
-def with_verdicts(df: DataFrame, cfg: ScoringConfig, stats: ReportStats) -> DataFrame:
+def with_verdicts(df: DataFrame, cfg: ScoringConfig, limits: flags.Limits) -> DataFrame:
     """Risk group and the three texts of rule flags."""
     return df.withColumns(
         {
             "risk_group": risk_group(),
             "contradictions": flags.contradictions(df),
-            "anomalies": flags.anomalies(df, cfg, stats.staff_p75, stats.violation_ratio_p99),
+            "anomalies": flags.anomalies_within(df, cfg, limits),
             "data_quality_flags": flags.quality_flags(df, cfg),
         }
     )
@@ -346,27 +376,64 @@ def enrich(
     if scores:
         require_unique(df, keys)
     stats = stats or fit(df, cfg)
-    present = [m for m in cfg.metrics if m in df.columns]
     if year is not None:
-        df = df.withColumn("analysis_year", F.lit(year))
+        df = df.withColumn(YEAR, F.lit(year))
     prepared = prepare(df, cfg)
     out = with_load_levels(prepared, cfg, stats.load_cuts)
     out = with_recommended_form(with_coverage(out, cfg), cfg)
-    out = with_verdicts(with_peers(out, cfg), cfg, stats)
+    limits = flags.Limits.of(stats.staff_p75, stats.violation_ratio_p99)
+    out = with_verdicts(with_peers(out, cfg), cfg, limits)
     if scores:
+        present = [m for m in cfg.metrics if m in df.columns]
         out = with_load_scores(out, load_scores(prepared, cfg, keys, present), cfg, keys)
     return out
 
 
-def enrich_years(df: DataFrame, cfg: ScoringConfig, years: Sequence[int], **options) -> DataFrame:
-    """Enrich several yearly reports kept in one table partitioned by `analysis_year`.
+def _year_table(df: DataFrame, stats: Mapping[int, ReportStats], metrics: Sequence[str]) -> DataFrame:
+    """One row for each year: the cut values of every metric and the limits of the flags."""
+    rows = []
+    for year, s in stats.items():
+        limits = flags.limit_values(s.staff_p75, s.violation_ratio_p99)
+        rows.append((year, [list(s.load_cuts[m]) for m in metrics], *limits.values()))
+    schema = f"{YEAR} int, cuts array<array<double>>, staff double, staff_shown string, ratio double, ratio_shown string"
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return table.select(YEAR, F.struct("cuts", "staff", "staff_shown", "ratio", "ratio_shown").alias("__of_year"))
 
-    Statistics are relative to one year's report, so each year is its own pruned scan. Rows of a year
-    that `years` does not name, or of none, are an error.
+
+def enrich_years(
+    df: DataFrame,
+    cfg: ScoringConfig,
+    years: Sequence[int],
+    keys: Sequence[str] = ("org_id",),
+    scores: bool = True,
+    bracket_rows: int = BRACKET_ROWS,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Enrich several yearly reports kept in one table with `analysis_year`.
+
+    Statistics are relative to one year's report and computed for all years in the same passes: the
+    number of jobs does not grow with the years, and the result is one projection over the table. The
+    broadcast table of limits has one row for each year that `years` names. `keys` identify an
+    organisation within its year. Rows of a year that `years` does not name, or of none, are an error.
     """
-    year = F.col("analysis_year")
-    other = df.where(year.isNull() | ~year.isin(list(years))).select("analysis_year").limit(1).collect()
+    year = F.col(YEAR)
+    other = df.where(year.isNull() | ~year.isin(list(years))).select(YEAR).limit(1).collect()
     if other:
         raise ValueError(f"rows of the year {other[0][0]}, which is not among {list(years)}")
-    parts = [enrich(df.where(year == y), cfg, **options) for y in years]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    keys = [YEAR, *keys]
+    if scores:
+        require_unique(df, keys)
+    present = [m for m in cfg.metrics if m in df.columns]
+    stats = fit_years(df, cfg, bracket_rows)
+    prepared = prepare(df, cfg)
+    out = prepared.join(F.broadcast(_year_table(df, stats, present)), YEAR)
+    of_year = F.col("__of_year")
+    cuts = {m: [of_year["cuts"][i][j] for j in range(len(cfg.level_cuts))] for i, m in enumerate(present)}
+    out = with_load_levels(out, cfg, cuts)
+    out = with_recommended_form(with_coverage(out, cfg), cfg)
+    limits = flags.Limits(*[of_year[part] for part in ("staff", "staff_shown", "ratio", "ratio_shown")])
+    out = with_verdicts(with_peers(out, cfg, [YEAR], len(set(years))), cfg, limits).drop("__of_year")
+    if scores:
+        found = load_scores(prepared, cfg, keys, present, range_rows, year)
+        out = with_load_scores(out, found, cfg, keys)
+    return out

@@ -362,13 +362,13 @@ def flag_copypaste(spark, sf_dir):
 @query
 def flag_zero_large(spark, sf_dir):
     df = report(spark, sf_dir)
-    return _nonempty(df, flags.join_texts(flags.zero_large_texts(df, scoring.staff_p75(df))))
+    return _nonempty(df, flags.join_texts(flags.zero_large_texts(df, flags.Limits.of(scoring.staff_p75(df), 0.0))))
 
 
 @query
 def flag_ratio(spark, sf_dir):
     df = report(spark, sf_dir)
-    return _nonempty(df, flags.join_texts(flags.ratio_texts(df, scoring.violation_ratio_p99(df))))
+    return _nonempty(df, flags.join_texts(flags.ratio_texts(df, flags.Limits.of(0.0, scoring.violation_ratio_p99(df)))))
 
 
 @query

@@ -140,6 +140,49 @@ def test_years_are_scored_apart(spark):
     assert got == {(2024, 1): 0.5, (2024, 2): 1.0, (2025, 1): 1.0, (2025, 2): 0.5}
 
 
+def yearly(spark, years):
+    """Reports of different size, scale and ties; the smallest year has one organisation."""
+    rows = [
+        (i, y, "n" if i % 9 else None, float((i * 37 + y) % (23 + y % 7) - 4) * (y - 2015), float(i % 5), float(i % 3), "Да" if i % 2 else None)
+        for n, y in enumerate(years)
+        for i in range(1 + 60 * n)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "org_id int, analysis_year int, org_name string, staff_avg double, fkhz_count double, violations_total double, cover_fhd string",
+    )
+
+
+def test_years_in_one_pass_equal_each_year_alone(spark):
+    years = [2019, 2020, 2021, 2022]
+    df = yearly(spark, years)
+    got = scoring.enrich_years(df, CFG, [*years, 2030], bracket_rows=25, range_rows=25)
+    assert "Union" not in scoring.enrich_years(df, CFG, years)._jdf.queryExecution().logical().toString()
+    names = sorted(got.columns)
+    order = ["analysis_year", "org_id"]
+    got = got.select(names).orderBy(order).collect()
+    alone = [scoring.enrich(df.where(F.col("analysis_year") == y), CFG) for y in years]
+    want = [r for part in alone for r in part.select(names).orderBy(order).collect()]
+    assert len(got) == df.count() and got == want
+
+
+def test_number_of_jobs_does_not_grow_with_the_years(spark):
+    def jobs(years):
+        group = f"years-{len(years)}"
+        spark.sparkContext.setJobGroup(group, group)
+        scoring.enrich_years(yearly(spark, years), CFG, years)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert jobs([2019, 2020, 2021, 2022, 2023]) == jobs([2019, 2020]) > 0
+
+
+def test_no_years_and_no_rows(spark):
+    df = yearly(spark, [2020]).where("org_id < 0")
+    assert scoring.enrich_years(df, CFG, [2020]).count() == 0
+
+
 def test_scalable_cuts_equal_naive_levels(spark):
     pdf = pd.DataFrame({"org_id": range(500), "staff_avg": [float((i * 37) % 61 - 5) for i in range(500)]})
     df = spark.createDataFrame(pdf)
