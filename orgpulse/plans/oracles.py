@@ -24,6 +24,7 @@ from orgpulse.operators import flags as T
 from orgpulse.plans.fixture import CONFIG, FIXTURE_CEILINGS, REPORT_SQL, TABLES
 from orgpulse.plans.queries import ENRICHED_COLUMNS
 from orgpulse.plans.raw import BROKEN_HEADERS, LAYOUTS, SHEET_HEADERS, YES_NO_ANSWERS
+from orgpulse.sources.sinks import ORG_KEYS, ROW_KEYS
 
 ORACLES: dict[str, str] = {}
 
@@ -973,3 +974,72 @@ ORACLES["bundle_counts"] = (
     _counted(_bundle | _checks)
     + f" UNION ALL SELECT 'top_risk_orgs' AS name, least(100, count(*)) AS n_rows FROM ({ORACLES['enrich']})"
 )
+
+# Cells of the table sets: numbers and texts apart, empty cells left out.
+
+
+def _table_cells(name: str, sql: str) -> str:
+    keys = ", ".join(ROW_KEYS.get(name, ORG_KEYS))
+    number = "try_cast(value AS DOUBLE)"
+    return (
+        f"SELECT {lit(name)} AS table_name, row_key, column_name, {number} AS number, CASE WHEN {number} IS NULL THEN value END AS text"
+        f" FROM (UNPIVOT (SELECT concat_ws('|', {keys}) AS row_key, COLUMNS(* EXCLUDE ({keys}))::VARCHAR FROM ({sql}))"
+        " ON COLUMNS(* EXCLUDE (row_key)) INTO NAME column_name VALUE value)"
+    )
+
+
+def _over_scored(sql: str) -> str:
+    """What an oracle asks of the scored report, as a query inside another that has it."""
+    rest = sql.removeprefix(SCORED).lstrip()
+    return "WITH " + rest[1:] if rest.startswith(",") else rest
+
+
+def _all_cells(tables: dict[str, str]) -> str:
+    """The scored report is computed once for all tables."""
+    once = SCORED.replace("enr AS (", "enr AS MATERIALIZED (")
+    return once + " UNION ALL ".join(_table_cells(n, _over_scored(sql)) for n, sql in tables.items())
+
+
+_untrimmed = SCALE.replace(
+    f"kept AS (SELECT enr.* FROM enr, q, lo WHERE NOT ({_outside}) AND is_report_filled)",
+    "kept AS (SELECT * FROM enr WHERE is_report_filled)",
+)
+ORACLES["bundle_cells"] = _all_cells(
+    {n: ORACLES[q] for n, q in (_bundle | _checks).items()}
+    | {
+        "top_risk_orgs": ORACLES["top_risk"].replace("LIMIT 50", "LIMIT 100"),
+        "scale_profile_bins": SCORED + _untrimmed + _bin_table("round_even(median(svk_form_level), 0)"),
+    }
+)
+_place = "e.org_name, e.org_type_classified, e.federal_district, e.region, e.cash_receipts, e.staff_avg, e.fkhz_count, e.svk_form_name"
+_extreme = f"SELECT {_place}, x.extreme_reason FROM enr e JOIN ({_over_scored(ORACLES['extremes'])}) x ON x.org_id = e.org_id"
+scored(
+    "extracts_trimmed",
+    f"SELECT {_place}, x.profile_trim_reason FROM enr e JOIN ({_over_scored(ORACLES['trimmed'])}) x ON x.org_id = e.org_id",
+)
+ORACLES["extract_cells"] = _all_cells(
+    {
+        "extreme_values": _extreme,
+        "scale_profile_trimmed": ORACLES["extracts_trimmed"],
+        "scale_profile_bin_1": "SELECT org_name, cash_receipts, staff_avg, fkhz_count, svk_form_name, signed_scale"
+        f" FROM ({_over_scored(ORACLES['bin_orgs'])}) WHERE bin_idx = 0",
+    }
+)
+scored(
+    "years_rewritten",
+    f"SELECT 2023 AS analysis_year, risk_group, count(*) AS orgs, round({share('count(*)', _n)}, 6) AS percent FROM enr GROUP BY 2"
+    f" UNION ALL SELECT 2024, risk_group, count(*), round({share('count(*)', _f)}, 6) FROM fil GROUP BY 2",
+)
+
+# Reports without some columns.
+_unknown = ", ".join(lit(m) for m, v in _over_rows if any(c in v for c in ("package", "risk", "review")) and "double" not in v)
+ORACLES["overview_sparse"] = (
+    f"SELECT metric, CASE WHEN metric NOT IN ({_unknown}) THEN value END AS value FROM ({ORACLES['overview']})"
+)
+_less = " AND ".join(f"{yes0(c)} = 1" for c in BASIC_ELEMENTS[1:])
+ORACLES["basic_package_sparse"] = (
+    ORACLES["basic_package"].replace(_package, _less).replace(lit(", ".join(BASIC_ELEMENTS)), lit(", ".join(BASIC_ELEMENTS[1:])))
+)
+ORACLES["classes_sparse"] = ORACLES["improvement"]
+ORACLES["by_district_sparse"] = ORACLES["by_district"]
+ORACLES["load_level_brackets"] = ORACLES["load_level"]

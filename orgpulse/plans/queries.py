@@ -7,13 +7,14 @@ rounded here, at the boundary, so that engines that add in another order agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.config import AXES, AXIS_RATIOS
+from orgpulse.config import AXES, AXIS_RATIOS, BASIC_ELEMENTS
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.labels import relabel
 from orgpulse.functions.ranking import average_rank_percentile
@@ -21,7 +22,7 @@ from orgpulse.operators import flags, neighbours, proportionality, scale_profile
 from orgpulse.plans import raw
 from orgpulse.plans.fixture import CONFIG, enriched, inputs, report
 from orgpulse.sources import schema, sheets, sinks
-from orgpulse.staging import staged_once
+from orgpulse.staging import keep_until_release, staged_once, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,6 +720,16 @@ def _counts(tables):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _bundle(spark, sf_dir):
+    return sinks.bundle_tables(enriched(spark, sf_dir), CONFIG, peers=peers(spark, sf_dir))
+
+
+def _extracts(spark, sf_dir):
+    return sinks.extract_tables(
+        enriched(spark, sf_dir), CONFIG, peers=peers(spark, sf_dir), proportions=proportions(spark, sf_dir)
+    )
+
+
 @query
 def short_counts(spark, sf_dir):
     return _counts(sinks.short_tables(enriched(spark, sf_dir), CONFIG))
@@ -726,5 +737,78 @@ def short_counts(spark, sf_dir):
 
 @query
 def bundle_counts(spark, sf_dir):
-    tables = sinks.bundle_tables(enriched(spark, sf_dir), CONFIG)
+    tables = _bundle(spark, sf_dir)
     return _counts({n: df for n, df in tables.items() if n != "scale_profile_bins"})  # scale_bins has those
+
+
+@query
+def bundle_cells(spark, sf_dir):
+    """Every cell of the 21 tables."""
+    tables = _bundle(spark, sf_dir)
+    digits = dict.fromkeys(tables, 6) | {"normalized_metrics": 2, "scale_profile_bins": 4, "top_risk_orgs": 8}
+    return sinks.cells(tables, digits)
+
+
+@query
+def extract_cells(spark, sf_dir):
+    """Every cell of the row lists that only an extract has."""
+    tables = _extracts(spark, sf_dir)
+    names = ("extreme_values", "scale_profile_trimmed", "scale_profile_bin_1")
+    return sinks.cells({n: tables[n] for n in names}, {"scale_profile_bin_1": 4})
+
+
+@query
+def extracts_trimmed(spark, sf_dir):
+    return _extracts(spark, sf_dir)["scale_profile_trimmed"]
+
+
+@query
+def years_rewritten(spark, sf_dir):
+    """Risk groups of two years in one folder, the later year written twice, at last of filled reports only."""
+    df = enriched(spark, sf_dir)
+    folder = f"{staging_root(spark)}/orgpulse/years-{uuid.uuid4().hex}"
+    keep_until_release(spark, folder)
+    tables = {"risk_groups": summaries.risk_groups(df)}
+    sinks.write_year(tables, folder, 2023)
+    sinks.write_year(tables, folder, 2024)
+    sinks.write_year({"risk_groups": summaries.risk_groups(selection.filled_only(df))}, folder, 2024)
+    return rounded(sinks.read_years(spark, folder, "risk_groups"), 6, "percent")
+
+
+# ---- reports without some columns -------------------------------------------------------------
+
+
+@query
+def overview_sparse(spark, sf_dir):
+    gone = ["risk_methodology", "effectiveness_review", *BASIC_ELEMENTS]
+    return rounded(summaries.overview(enriched(spark, sf_dir).drop(*gone)), 6, "value")
+
+
+@query
+def basic_package_sparse(spark, sf_dir):
+    """The basic package of a report that asks for all elements but the first."""
+    return rounded(summaries.basic_package(enriched(spark, sf_dir).drop(BASIC_ELEMENTS[0])), 6, "percent")
+
+
+@query
+def classes_sparse(spark, sf_dir):
+    """The three classifications of a report with only the last of their columns."""
+    df = enriched(spark, sf_dir).drop("risk_methodology", "effectiveness_review")
+    tables = [summaries.risk_methodology(df), summaries.effectiveness(df), summaries.improvement(df)]
+    return rounded(reduce(DataFrame.unionByName, tables), 6, "percent_filled")
+
+
+@query
+def by_district_sparse(spark, sf_dir):
+    """Districts of a report without names, where rows are counted by risk group."""
+    df = enriched(spark, sf_dir).drop("org_name")
+    return rounded(summaries.by_dimension(df, "federal_district"), 6, "avg_coverage", "avg_form_gap")
+
+
+@query
+def load_level_brackets(spark, sf_dir):
+    """Load levels through many small brackets, as for reports of millions of rows."""
+    df = prepared(spark, sf_dir)
+    metrics = present_metrics(spark, sf_dir)
+    cuts = scoring.fit_load_cuts(df, CONFIG, metrics, bracket_rows=100)
+    return df.select("org_id", *[scoring.level_of(F.col(m), cuts[m]).alias(f"{m}_level") for m in metrics])

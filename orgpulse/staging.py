@@ -25,11 +25,16 @@ def staging_root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Let `release` delete a folder that the caller writes."""
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the staging folder and read it back."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/orgpulse/{name}-{uuid.uuid4().hex}"
-    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    keep_until_release(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

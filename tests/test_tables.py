@@ -241,3 +241,64 @@ def test_extract_tables(enriched):
     assert tables["scale_profile_trimmed"].columns[-1] == "profile_trim_reason"
     assert tables["scale_profile_bin_1"].columns[-1] == "signed_scale" and tables["scale_profile_bin_1"].count() > 0
     assert tables["extreme_values"].count() > 0
+
+
+def small_set(spark, n, extra=False):
+    totals = spark.createDataFrame([("orgs", float(n))], "metric string, value double")
+    if extra:
+        totals = totals.withColumn("unit", F.lit("pcs"))
+    return {"totals": totals, "rows": spark.range(n).select(F.col("id").alias("org_id"))}
+
+
+def test_one_year_is_rewritten_and_the_other_stays(spark, tmp_path):
+    folder = str(tmp_path / "sets")
+    assert sinks.write_year(small_set(spark, 3), folder, 2024) == 1
+    assert sinks.write_year(small_set(spark, 5), folder, 2025) == 1
+    assert sinks.write_year(small_set(spark, 7, extra=True), folder, 2025) == 2
+    totals = sinks.read_years(spark, folder, "totals").orderBy("analysis_year").collect()
+    assert [(r["analysis_year"], r["value"], r["unit"]) for r in totals] == [(2024, 3.0, None), (2025, 7.0, "pcs")]
+    assert sinks.read_years(spark, folder, "rows", [2025]).count() == 7
+    assert sinks.write_year({"rows": spark.range(0).select(F.col("id").alias("org_id"))}, folder, 2024) == 2
+    assert sinks.read_years(spark, folder, "rows", [2024]).count() == 0
+    with pytest.raises(ValueError, match="2024"):
+        sinks.read_years(spark, folder, "totals", [2024])  # the last set of that year has no such table
+
+
+def test_a_lost_writer_leaves_the_former_set(spark, tmp_path):
+    folder = str(tmp_path / "sets")
+    with pytest.raises(ValueError, match="no complete table"):
+        sinks.read_years(spark, folder, "rows")
+    sinks.write_year(small_set(spark, 3), folder, 2025)
+    broken = small_set(spark, 9)
+    broken["rows"] = broken["rows"].withColumn("bad", F.raise_error(F.lit("writer lost")).cast("string"))
+    with pytest.raises(Exception, match="writer lost"):
+        sinks.write_year(broken, folder, 2025)
+    assert sinks.read_years(spark, folder, "totals").first()["value"] == 3.0
+    assert sinks.read_years(spark, folder, "rows").count() == 3
+    assert len(sinks.complete_tables(spark, folder)) == 2
+    # The next writer takes its own folder beside what the lost one left.
+    sinks.write_year(small_set(spark, 4), folder, 2025)
+    assert sinks.read_years(spark, folder, "rows").count() == 4
+
+
+def test_rows_of_another_year_are_refused(spark, tmp_path):
+    for year in (2024, None):
+        df = spark.createDataFrame([(1, 2025), (2, year)], "org_id int, analysis_year int")
+        with pytest.raises(ValueError, match="another year"):
+            sinks.write_year({"rows": df}, str(tmp_path / "sets"), 2025)
+    with pytest.raises(ValueError, match="at least one"):
+        sinks.write_year({}, str(tmp_path / "sets"), 2025)
+
+
+def test_cells(spark):
+    df = spark.createDataFrame(
+        [("a", 1.00000049, 2, True, "5", [1]), (None, None, None, None, None, None)],
+        "org_name string, share double, n int, flag boolean, note string, ids array<int>",
+    )
+    got = {tuple(r) for r in sinks.cells({"t": df}, {"t": 6}).collect()}
+    assert got == {
+        ("t", "a", "share", 1.0, None),
+        ("t", "a", "n", 2.0, None),
+        ("t", "a", "flag", None, "true"),
+        ("t", "a", "note", None, "5"),
+    }
