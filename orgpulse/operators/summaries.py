@@ -285,33 +285,49 @@ def _double_risk() -> Column:
     return F.count_if(F.col("risk_group").startswith("D."))
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """Key figures; counts over filled rows are conditional, so the report is read once."""
+def overview_sums(df: DataFrame) -> dict[str, Column]:
+    """The counts and sums behind the key figures: those of a report are the sums of those of its parts.
+    Counts over filled rows are conditional, so the report is read once. An absent column has none."""
     filled = F.coalesce(F.col("is_report_filled"), F.lit(True)) if "is_report_filled" in df.columns else F.lit(True)
     whole, names = _has_basic_package(df)
     risk = C.risk_methodology_class(_text(df, "risk_methodology")) == C.RISK_FULL
     review = C.effectiveness_class(_text(df, "effectiveness_review")) == C.REVIEW_REGULAR
 
-    def known(present: bool, value: Column) -> Column:
-        return F.when(F.lit(present), value)
-
     def filled_sum(name: str) -> Column:
         return F.coalesce(F.sum(F.when(filled, _number(df, name))), F.lit(0.0))
 
-    one = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(filled).alias("filled"),
-        F.count_if(filled & (C.flag_or_zero(df, "svk_organized") == 1)).alias("organised"),
-        known(bool(names), F.count_if(filled & whole)).alias("package"),
-        known("risk_methodology" in df.columns, F.count_if(filled & risk)).alias("risk"),
-        known("effectiveness_review" in df.columns, F.count_if(filled & review)).alias("review"),
-        filled_sum("violations_total").alias("bad"),
-        filled_sum("violations_fixed_on_time").alias("fixed"),
-        F.avg("coverage_share_active").alias("coverage"),
-        F.count_if(F.col("uncovered_active_directions_count") > 0).alias("uncovered"),
-        F.count_if(F.col("form_gap") < 0).alias("weak"),
-        _double_risk().alias("double"),
-        F.count_if(F.coalesce(F.col("data_quality_flags"), F.lit("")) != "").alias("flagged"),
+    sums = {
+        "n": F.count(F.lit(1)),
+        "filled": F.count_if(filled),
+        "organised": F.count_if(filled & (C.flag_or_zero(df, "svk_organized") == 1)),
+        "bad": filled_sum("violations_total"),
+        "fixed": filled_sum("violations_fixed_on_time"),
+        "coverage_sum": F.coalesce(F.sum("coverage_share_active"), F.lit(0.0)),
+        "coverage_n": F.count("coverage_share_active"),
+        "uncovered": F.count_if(F.col("uncovered_active_directions_count") > 0),
+        "weak": F.count_if(F.col("form_gap") < 0),
+        "double": _double_risk(),
+        "flagged": F.count_if(F.coalesce(F.col("data_quality_flags"), F.lit("")) != ""),
+    }
+    if names:
+        sums["package"] = F.count_if(filled & whole)
+    if "risk_methodology" in df.columns:
+        sums["risk"] = F.count_if(filled & risk)
+    if "effectiveness_review" in df.columns:
+        sums["review"] = F.count_if(filled & review)
+    return sums
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """Key figures."""
+    return overview_figures(df.agg(*[c.alias(n) for n, c in overview_sums(df).items()]))
+
+
+def overview_figures(one: DataFrame) -> DataFrame:
+    """The key figures of one row of :func:`overview_sums`; those of an absent column are null."""
+    unknown = [c for c in ("package", "risk", "review") if c not in one.columns]
+    one = one.withColumns({c: F.lit(None).cast("long") for c in unknown}).withColumn(
+        "coverage", C.safe_ratio(F.col("coverage_sum"), F.col("coverage_n").cast("double"))
     )
     # fixed values: captions
     rows = [
@@ -350,19 +366,30 @@ def overview_extra(df: DataFrame) -> DataFrame:
 # ---- directions, risk groups, dimensions ------------------------------------------------------
 
 
-def directions(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    aggs = []
+def direction_sums(cfg: ScoringConfig) -> dict[str, Column]:
+    """The counts and sums behind the direction table: those of a report are the sums of those of its parts."""
+    sums = {}
     for d in cfg.directions:
         active, covered = F.col(f"{d.key}_active") == 1, F.col(f"{d.key}_covered") == 1
         heavy = F.col(f"{d.key}_load_level") >= 3
-        aggs += [
-            F.count_if(active).alias(f"{d.key}_a"),
-            F.count_if(active & covered).alias(f"{d.key}_c"),
-            F.count_if(active & ~covered).alias(f"{d.key}_u"),
-            F.count_if(heavy).alias(f"{d.key}_h"),
-            F.count_if(heavy & active & ~covered).alias(f"{d.key}_hu"),
-            F.avg(f"{d.key}_load_level").alias(f"{d.key}_m"),
-        ]
+        sums |= {
+            f"{d.key}_a": F.count_if(active),
+            f"{d.key}_c": F.count_if(active & covered),
+            f"{d.key}_u": F.count_if(active & ~covered),
+            f"{d.key}_h": F.count_if(heavy),
+            f"{d.key}_hu": F.count_if(heavy & active & ~covered),
+            f"{d.key}_levels": F.coalesce(F.sum(f"{d.key}_load_level"), F.lit(0)),
+            f"{d.key}_rows": F.count(f"{d.key}_load_level"),
+        }
+    return sums
+
+
+def directions(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    return direction_figures(df.agg(*[c.alias(n) for n, c in direction_sums(cfg).items()]), cfg)
+
+
+def direction_figures(one: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """The direction table of one row of :func:`direction_sums`."""
     rows = [
         (
             F.lit(d.key),
@@ -373,7 +400,7 @@ def directions(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
             _share(F.col(f"{d.key}_c"), F.col(f"{d.key}_a")),
             F.col(f"{d.key}_h"),
             F.col(f"{d.key}_hu"),
-            F.col(f"{d.key}_m"),
+            C.safe_ratio(F.col(f"{d.key}_levels").cast("double"), F.col(f"{d.key}_rows").cast("double")),
         )
         for d in cfg.directions
     ]
@@ -388,7 +415,7 @@ def directions(df: DataFrame, cfg: ScoringConfig) -> DataFrame:
         "high_load_uncovered_orgs",
         "avg_load_level",
     ]
-    return _unfold(df.agg(*aggs), rows, names)
+    return _unfold(one, rows, names)
 
 
 def directions_long(direction_table: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from orgpulse.config import (
 from orgpulse.functions.labels import DISPLAY_LABELS, TEXT_REPLACEMENTS
 from orgpulse.operators import flags as T
 from orgpulse.plans.fixture import CONFIG, FIXTURE_CEILINGS, REPORT_SQL, TABLES
-from orgpulse.plans.queries import ENRICHED_COLUMNS
+from orgpulse.plans.queries import ENRICHED_COLUMNS, SELECTED
 from orgpulse.plans.raw import BROKEN_HEADERS, LAYOUTS, SHEET_HEADERS, YES_NO_ANSWERS
 from orgpulse.sources.sinks import ORG_KEYS, ROW_KEYS
 
@@ -1043,3 +1043,27 @@ ORACLES["basic_package_sparse"] = (
 ORACLES["classes_sparse"] = ORACLES["improvement"]
 ORACLES["by_district_sparse"] = ORACLES["by_district"]
 ORACLES["load_level_brackets"] = ORACLES["load_level"]
+
+# A selection, computed from its own rows.
+_chosen = " AND ".join(f"{c} IN ({', '.join(lit(v) for v in values)})" for c, values in SELECTED.items())
+SELECTION = SCORED + f", sel AS (SELECT * FROM enr WHERE {_chosen})\n"
+
+
+def _of_selection(name: str) -> str:
+    return SELECTION + ORACLES[name].removeprefix(SCORED).replace("FROM enr", "FROM sel")
+
+
+ORACLES["cube_overview"] = _of_selection("overview")
+ORACLES["cube_directions"] = _of_selection("directions")
+_axis_pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+ORACLES["cube_moments"] = (
+    SELECTION
+    + ", act AS (SELECT * FROM sel WHERE is_report_filled AND "
+    + " AND ".join(f"{a} > 0" for a in AXES)
+    + ") "
+    + " UNION ALL ".join(
+        f"SELECT {lit(a)} AS axis_1, {lit(b)} AS axis_2, count(*) AS n, round(avg(ln(1 + {a})), 6) AS mean_1,"
+        f" round(avg(ln(1 + {b})), 6) AS mean_2, round(covar_samp(ln(1 + {a}), ln(1 + {b})), 6) AS covariance FROM act"
+        for a, b in _axis_pairs
+    )
+)

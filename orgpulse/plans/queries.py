@@ -18,7 +18,7 @@ from orgpulse.config import AXES, AXIS_RATIOS, BASIC_ELEMENTS
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.labels import relabel
 from orgpulse.functions.ranking import average_rank_percentile
-from orgpulse.operators import flags, neighbours, proportionality, scale_profile, scoring, selection, summaries
+from orgpulse.operators import cube, flags, neighbours, proportionality, scale_profile, scoring, selection, summaries
 from orgpulse.plans import raw
 from orgpulse.plans.fixture import CONFIG, enriched, inputs, report
 from orgpulse.sources import schema, sheets, sinks
@@ -775,6 +775,31 @@ def years_rewritten(spark, sf_dir):
     return rounded(sinks.read_years(spark, folder, "risk_groups"), 6, "percent")
 
 
+# ---- selections from the cube -----------------------------------------------------------------
+
+SELECTED = {"federal_district": ["ASIA", "EUROPE", "AMERICA"], "org_type_classified": ["Другие", "Научные учреждения"]}
+
+
+def selected_cells(spark, sf_dir):
+    cells = staged_once(spark, sf_dir, "cube", lambda: cube.moment_cube(enriched(spark, sf_dir), CONFIG), inputs(sf_dir))
+    return selection.filter_dimensions(cells, **SELECTED)
+
+
+@query
+def cube_overview(spark, sf_dir):
+    return rounded(cube.overview(selected_cells(spark, sf_dir)), 6, "value")
+
+
+@query
+def cube_directions(spark, sf_dir):
+    return rounded(cube.directions(selected_cells(spark, sf_dir), CONFIG), 6, "coverage_pct_active", "avg_load_level")
+
+
+@query
+def cube_moments(spark, sf_dir):
+    return rounded(cube.log_moments(selected_cells(spark, sf_dir)), 6, "mean_1", "mean_2", "covariance")
+
+
 # ---- reports without some columns -------------------------------------------------------------
 
 
