@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.config import AXES, ScoringConfig
 from orgpulse.functions import cleaning as C
-from orgpulse.functions.ranking import HOT_SHARE, RANGE_ROWS, column_sizes, lookup_by_value, value_percentiles
+from orgpulse.functions.ranking import HOT_SHARE, RANGE_ROWS, column_sizes, lookup_by_value, require_unique, value_percentiles
 from orgpulse.functions.space import CellTree, box_distance, build_tree, nearest
 from orgpulse.operators.selection import filled_only, present
 from orgpulse.staging import stage
@@ -301,7 +301,8 @@ def cloud_peers(
     range_rows: int = RANGE_ROWS,
     fan: int = FIRST_FAN,
 ) -> DataFrame:
-    """Compare every filled organisation with its k nearest in the cloud of the three axes."""
+    """Compare every filled organisation with its k nearest in the cloud of the three axes. Filled rows
+    that repeat a key or have none are an error."""
     k = max(1, int(cfg.min_group_size))
     base = filled_only(df)
     level = F.coalesce(F.col("svk_form_level"), F.lit(0)) if "svk_form_level" in base.columns else F.lit(0)
@@ -317,6 +318,7 @@ def cloud_peers(
         ),
         "cloud-points",
     )
+    require_unique(points, [key])
     n = points.count()
 
     locations = stage(_locations(points, key, k + 1), "cloud-locations")

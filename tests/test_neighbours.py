@@ -85,6 +85,14 @@ def test_string_keys_and_even_group_size(spark):
         assert [ids[n["id"]] for n in row.neighbors] == [n[0] for n in want[ids[row.org_id]]]
 
 
+def test_repeated_keys_are_refused(spark):
+    pdf = cloud("lognormal", 12)
+    pdf["is_report_filled"] = True
+    pdf["org_id"] = [0, 0, 0, 0, *range(1, 9)]
+    with pytest.raises(ValueError, match="org_id=0"):
+        neighbours.cloud_peers(spark.createDataFrame(pdf), ScoringConfig())
+
+
 def test_too_few_organisations(spark):
     five = spark.createDataFrame(cloud("plain", 5).assign(is_report_filled=True))
     assert neighbours.cloud_peers(five, ScoringConfig()).count() == 0
