@@ -4,7 +4,8 @@ Distances are compared inside balanced boxes, never over all pairs:
 
 1. organisations at the same point collapse into one location that remembers only the k+1 smallest
    keys, which is all that any neighbour list can use of it;
-2. a tree built from a bounded sample splits the locations into boxes of a few thousand points;
+2. a tree of boxes, cut again wherever one is overfull, splits the locations into boxes of a few thousand
+   points; it is a table a level, without a limit of boxes;
 3. every location is answered inside its own box, which bounds its true k-th distance;
 4. locations whose bound reaches into other boxes visit those, nearest first, until no unvisited
    box is within the bound. Boxes asked for by many locations are split over several tasks.
@@ -14,30 +15,26 @@ Box sizes and the number of visits only affect speed; the answer equals brute fo
 
 from __future__ import annotations
 
-import math
 import sys
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgpulse.config import AXES, ScoringConfig
 from orgpulse.functions import cleaning as C
+from orgpulse.functions.boxes import BOUNDS, CELLS, nested_boxes, parents_of_small, within_reach
 from orgpulse.functions.ranking import HOT_SHARE, RANGE_ROWS, column_sizes, lookup_by_value, require_unique, value_percentiles
-from orgpulse.functions.space import CellTree, box_distance, build_tree, nearest
+from orgpulse.functions.space import box_distance, nearest
 from orgpulse.operators.selection import filled_only, present
 from orgpulse.staging import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BOX_ROWS = 2_000
-MAX_BOXES = 65_536
-SAMPLE_PER_BOX = 32
 VISITS_PER_TASK = 20_000
 FIRST_FAN = 8
 
@@ -97,26 +94,6 @@ def _locations(points: DataFrame, key: str, keep: int) -> DataFrame:
     )
 
 
-def _box_count(n: int, box_rows: int) -> int:
-    """Depth of the cell tree for `n` locations."""
-    boxes = min(MAX_BOXES, max(1, math.ceil(n / box_rows)))
-    return math.ceil(math.log2(boxes))
-
-
-def _sample(locations: DataFrame, n: int, boxes: int) -> np.ndarray:
-    share = min(1.0, SAMPLE_PER_BOX * boxes / n)
-    rows = locations.select(*XYZ)
-    return (rows if share == 1.0 else rows.sample(share, seed=7)).toPandas().to_numpy(dtype=float)
-
-
-def _box_column(tree: CellTree) -> Column:
-    @F.pandas_udf("int")
-    def box(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf_of(np.column_stack([x, y, z])).astype(np.int32))
-
-    return box(*XYZ)
-
-
 def _answers(loc: np.ndarray, ids: np.ndarray, triples, n: int) -> pd.DataFrame:
     """One row per query: sorted neighbour ids and distances."""
     i, j, d = triples
@@ -153,19 +130,13 @@ def _visit(k: int):
     return answer
 
 
-def _next_visits(k: int, fan: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Boxes each location must still look into, nearest first, at most `fan` of them now."""
+def _next_visits(k: int, fan: int):
+    """Boxes each location of one box must still look into, nearest first, at most `fan` of them now."""
 
-    def due(rows: pd.DataFrame, box: int) -> pd.DataFrame:
-        """Visits of locations that share a box."""
+    def due(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         at = rows[XYZ].to_numpy(dtype=float)
-        bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in rows["dists"]])
-        # Slack for rounding: one visit too many costs little, one too few is wrong.
-        bound = bound * (1 + 1e-9) + 1e-12
-        # Boxes out of reach of the whole group need no look per location.
-        apart = np.maximum(np.maximum(low - at.max(axis=0), at.min(axis=0) - high), 0.0)
-        reach = (np.sqrt((apart**2).sum(axis=1)) <= bound.max()) & (numbers != box)
-        gaps = box_distance(at, low[reach], high[reach])
+        bound = rows["bound"].to_numpy()
+        gaps = box_distance(at, boxes[BOUNDS[:3]].to_numpy(), boxes[BOUNDS[3:]].to_numpy())
         rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1, kind="stable")
         # Boxes within the bound are the nearest ones, so their ranks do not depend on the others.
         done = rows["visited"].to_numpy()[:, None]
@@ -176,7 +147,7 @@ def _next_visits(k: int, fan: int, numbers: np.ndarray, low: np.ndarray, high: n
         return pd.DataFrame(
             {
                 "loc": rows["loc"].to_numpy()[i],
-                "to_box": numbers[reach][j].astype(np.int32),
+                "to_box": boxes["to_box"].to_numpy()[j],
                 "x": at[i, 0],
                 "y": at[i, 1],
                 "z": at[i, 2],
@@ -185,78 +156,68 @@ def _next_visits(k: int, fan: int, numbers: np.ndarray, low: np.ndarray, high: n
             }
         )
 
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, 4_000_000 // len(numbers))
-        for batch in batches:
-            for box, rows in batch.groupby("box", sort=False):
-                for start in range(0, len(rows), step):
-                    yield due(rows.iloc[start : start + step], box)
+    def plan(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        # One order of the boxes in every round, so that a rank stays what it is.
+        boxes = boxes.sort_values("to_box", ignore_index=True)
+        step = max(1, 4_000_000 // max(1, len(boxes)))
+        return pd.concat([due(rows.iloc[start : start + step], boxes) for start in range(0, max(1, len(rows)), step)])
 
     return plan
 
 
-def _table(df: DataFrame, columns: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame(pa.table(columns))
+def _with_bound(pending: DataFrame, k: int) -> DataFrame:
+    """`bound`: no farther than this is the k-th nearest location."""
+    bound = F.coalesce(F.try_element_at("dists", F.lit(k)), F.col("far"))
+    # Slack for rounding: one visit too many costs little, one too few is wrong.
+    return pending.withColumn("bound", bound * (1 + 1e-9) + 1e-12)
 
 
-def nearest_locations(locations: DataFrame, k: int, box_rows: int = BOX_ROWS, fan: int = FIRST_FAN) -> DataFrame:
-    """(loc, ids, dists): the `k` nearest locations of each location, itself included."""
-    n = locations.count()
-    depth = _box_count(n, box_rows) if n else 0
-    points = locations.select("loc", *XYZ)
-    if depth:
-        tree = build_tree(_sample(locations, n, 2**depth), depth)
-        points = stage(points.withColumn("box", _box_column(tree)), "boxed")
-    else:
-        points = points.withColumn("box", F.lit(0))
+def _farthest(columns: list[str]) -> Column:
+    """Distance to the farthest corner of a box."""
+    sides = [F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high))) for c, low, high in zip(XYZ, columns[:3], columns[3:])]
+    return F.sqrt(reduce(lambda a, b: a + b, [s * s for s in sides]))
+
 
+def nearest_locations(
+    locations: DataFrame, k: int, box_rows: int = BOX_ROWS, fan: int = FIRST_FAN, cells: int = CELLS
+) -> DataFrame:
+    """(loc, ids, dists): the `k` nearest locations of each location, itself included."""
+    points, levels = nested_boxes(locations, box_rows, k, cells)
     loc_type = locations.schema["loc"].dataType.simpleString()
     answer = f"loc {loc_type}, ids array<{loc_type}>, dists array<double>"
-    first = points.groupBy("box").applyInPandas(
-        _own_box(k), f"box int, x double, y double, z double, {answer}"
-    )
-    if not depth:
+    first = points.groupBy("box").applyInPandas(_own_box(k), f"box long, x double, y double, z double, {answer}")
+    if len(levels) == 1:
         return first.select("loc", "ids", "dists")
 
-    pending = stage(first.withColumn("visited", F.lit(0)), "own-box")
-    # One row per box, at most MAX_BOXES.
-    boxes = (
-        points.groupBy("box")
-        .agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in XYZ])
-        .orderBy("box")
-        .toPandas()
-    )
-    numbers = boxes["box"].to_numpy()
-    low = boxes[[f"min_{c}" for c in XYZ]].to_numpy()
-    high = boxes[[f"max_{c}" for c in XYZ]].to_numpy()
+    # A box with fewer than k locations bounds nothing itself, the corners of its parent do.
+    first = first.join(parents_of_small(levels, k), "box", "left").withColumn("far", _farthest(BOUNDS)).drop(*BOUNDS)
+    pending = stage(_with_bound(first.withColumn("visited", F.lit(0)), k), "own-box")
 
     done: list[DataFrame] = []
     while True:
+        sides = [f(c).alias(f"from_{side}_{c}") for side, f in (("low", F.min), ("high", F.max)) for c in XYZ]
+        asking = stage(pending.groupBy("box").agg(*sides, F.max("bound").alias("reach")), "asking")
+        near = within_reach(asking, levels)
         visits = stage(
-            pending.mapInPandas(
-                _next_visits(k, fan, numbers, low, high),
-                f"loc {loc_type}, to_box int, x double, y double, z double, bound double, last boolean",
+            pending.groupBy("box")
+            .cogroup(near.groupBy("box"))
+            .applyInPandas(
+                _next_visits(k, fan),
+                f"loc {loc_type}, to_box long, x double, y double, z double, bound double, last boolean",
             ),
             "visits",
         )
-        load = {r["to_box"]: r["count"] for r in visits.groupBy("to_box").count().collect()}
-        if not load:
+        total = visits.count()
+        if not total:
             done.append(pending.select("loc", "ids", "dists"))
             break
         done.append(pending.join(visits.select("loc").distinct(), "loc", "left_anti").select("loc", "ids", "dists"))
-        parts = F.broadcast(
-            _table(
-                points,
-                {
-                    "to_box": pa.array(list(load), pa.int32()),
-                    "parts": pa.array([math.ceil(c / VISITS_PER_TASK) for c in load.values()], pa.int32()),
-                },
-            )
-        )
-        asked = visits.join(parts, "to_box").withColumn(
+        load = stage(visits.groupBy("to_box").agg(F.count(F.lit(1)).alias("c")), "visit-load")
+        load = load.withColumn("parts", F.ceil(F.col("c") / VISITS_PER_TASK).cast("int"))
+        asked = lookup_by_value(visits, load, ["to_box"], F.col("c") * HOT_SHARE >= total, split=True).withColumn(
             "part", F.pmod(F.xxhash64("loc"), F.col("parts").cast("long")).cast("int")
         )
-        copies = points.withColumnRenamed("box", "to_box").join(parts, "to_box")
+        copies = points.withColumnRenamed("box", "to_box").join(load, "to_box")
         copies = copies.select("loc", *XYZ, "to_box", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         found = (
             asked.groupBy("to_box", "part")
@@ -264,7 +225,7 @@ def nearest_locations(locations: DataFrame, k: int, box_rows: int = BOX_ROWS, fa
             .applyInPandas(_visit(k), answer)
         )
         last = visits.groupBy("loc").agg(F.bool_and("last").alias("last"))
-        old = pending.join(last, "loc")
+        old = pending.drop("bound").join(last, "loc")
         merged = (
             old.select("loc", "ids", "dists")
             .unionByName(found)
@@ -274,7 +235,7 @@ def nearest_locations(locations: DataFrame, k: int, box_rows: int = BOX_ROWS, fa
             .select("loc", F.col("near.ids").alias("ids"), F.col("near.dists").alias("dists"))
         )
         rest = old.drop("ids", "dists").join(merged, "loc")
-        state = stage(rest.withColumn("visited", F.col("visited") + fan), "visited")
+        state = stage(_with_bound(rest.withColumn("visited", F.col("visited") + fan), k), "visited")
         done.append(state.where("last").select("loc", "ids", "dists"))
         pending = state.where(~F.col("last")).drop("last")
         fan *= 4
@@ -300,6 +261,7 @@ def cloud_peers(
     box_rows: int = BOX_ROWS,
     range_rows: int = RANGE_ROWS,
     fan: int = FIRST_FAN,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Compare every filled organisation with its k nearest in the cloud of the three axes. Filled rows
     that repeat a key or have none are an error."""
@@ -322,7 +284,7 @@ def cloud_peers(
     n = points.count()
 
     locations = stage(_locations(points, key, k + 1), "cloud-locations")
-    near = nearest_locations(locations, k + 1, box_rows, fan)
+    near = nearest_locations(locations, k + 1, box_rows, fan, cells)
     pairs = near.select("loc", F.explode(F.arrays_zip("ids", "dists")).alias("p")).select(
         "loc", F.col("p.ids").alias("near_loc"), F.col("p.dists").alias("dist")
     )

@@ -930,6 +930,7 @@ scored(
 # The same results through the paths for large reports.
 ORACLES["load_percentile_ranges"] = ORACLES["load_percentile"]
 ORACLES["cloud_peers_boxes"] = ORACLES["cloud_peers"]
+ORACLES["cloud_peers_nested"] = ORACLES["cloud_peers"]
 
 # Two yearly reports, each scored by itself.
 _later = ORACLES["enrich"].replace(f"rep AS ({REPORT})", f"rep AS (SELECT * FROM ({REPORT}) WHERE staff_avg IS NOT NULL)", 1)

@@ -606,6 +606,13 @@ def cloud_peers_boxes(spark, sf_dir):
     return neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG, box_rows=64, range_rows=200).drop("neighbors")
 
 
+@query
+def cloud_peers_nested(spark, sf_dir):
+    """The same where overfull boxes are cut again and again, as for clouds beyond one level of boxes."""
+    sizes = dict(box_rows=32, range_rows=200, fan=16, cells=8)
+    return neighbours.cloud_peers(enriched(spark, sf_dir), CONFIG, **sizes).drop("neighbors")
+
+
 @query
 def cloud_priority(spark, sf_dir):
     return neighbours.priority(peers(spark, sf_dir))

@@ -3,9 +3,17 @@ import pandas as pd
 import pytest
 
 from orgpulse.config import AXES, ScoringConfig
+from orgpulse.functions import boxes
 from orgpulse.operators import neighbours
 
 
+SIZES = {
+    "default": {},
+    "small": dict(box_rows=25, range_rows=50, fan=1),
+    "nested": dict(box_rows=4, range_rows=50, fan=2, cells=4),  # three levels and more, boxes below k + 1
+}
+
+
 def cloud(kind: str, n: int = 400) -> pd.DataFrame:
     rng = np.random.default_rng(5)
     x = rng.lognormal(6, 1.5, (n, 3)).round(2)
@@ -41,12 +49,15 @@ def brute(pdf: pd.DataFrame, k: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("kind", ["plain", "copies", "clusters", "grid"])
-@pytest.mark.parametrize("small", [False, True])
-def test_equal_to_brute_force(spark, kind, small):
+@pytest.mark.parametrize(
+    "kind, sizes",
+    [(k, s) for k in ("plain", "copies", "clusters", "grid") for s in ("default", "small")]
+    + [("copies", "nested"), ("clusters", "nested")],
+)
+def test_equal_to_brute_force(spark, kind, sizes):
     pdf = cloud(kind)
     cfg = ScoringConfig(min_group_size=5)
-    options = dict(box_rows=25, range_rows=50, fan=1) if small else {}
+    options = SIZES[sizes]
     got = neighbours.cloud_peers(spark.createDataFrame(pdf), cfg, **options).toPandas()
     want = brute(pdf, 5)
     assert set(got["org_id"]) == set(want) and len(got) == len(want)
@@ -85,6 +96,22 @@ def test_string_keys_and_even_group_size(spark):
         assert [ids[n["id"]] for n in row.neighbors] == [n[0] for n in want[ids[row.org_id]]]
 
 
+def test_boxes_of_several_levels(spark):
+    at = np.log1p(cloud("clusters")[list(AXES)].to_numpy())
+    points = pd.DataFrame(at, columns=["x", "y", "z"]).assign(loc=np.arange(len(at)))
+    boxed, levels = boxes.nested_boxes(spark.createDataFrame(points), 4, 6, cells=4)
+    tables = [t.toPandas().set_index("box") for t in levels]
+    boxed = boxed.toPandas()
+    assert len(levels) >= 4 and tables[0].index.tolist() == [0] and tables[0]["n"].iloc[0] == len(at)
+    assert sorted(boxed["loc"]) == list(range(len(at)))
+    for upper, lower in zip(tables, tables[1:]):
+        assert set(lower["parent"]) == set(upper.index[upper["split"]])
+        assert (lower.groupby("parent")["n"].sum() == upper["n"][upper["split"]]).all()
+    leaves = pd.concat([t[~t["split"]] for t in tables])
+    assert leaves["n"].max() <= 8 and (boxed.groupby("box").size() == leaves["n"].sort_index()).all()
+    assert np.allclose(boxed.groupby("box")["x"].max(), leaves["high_x"].sort_index(), atol=0)
+
+
 def test_repeated_keys_are_refused(spark):
     pdf = cloud("lognormal", 12)
     pdf["is_report_filled"] = True
