@@ -278,6 +278,10 @@ ORACLES["canonical_frame"] = (
     f"WITH {_sheet} SELECT s.source, s.pos, s.b AS org_name, s.c AS report_status, s.d AS cash_receipts"
     " FROM sheet s JOIN found f ON f.source = s.source AND f.accepted AND s.pos > f.at"
 )
+ORACLES["canonical_frame_uneven"] = """SELECT
+  CASE WHEN c_custkey % 2 = 0 THEN 'all' ELSE 'file ' || c_custkey END AS source, c_custkey + 10 AS pos,
+  c_name AS org_name, 'Отчет принят' AS report_status, CAST(c_acctbal AS VARCHAR) AS cash_receipts
+FROM customer WHERE c_custkey % 10 <> 9"""
 ORACLES["latest_snapshot"] = """WITH t AS (SELECT n_name AS source, max(o_orderdate) AS modified
   FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1),
 newest AS (SELECT source FROM t ORDER BY modified DESC, source LIMIT 1)

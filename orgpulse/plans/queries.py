@@ -120,14 +120,23 @@ def unresolved_columns(spark, sf_dir):
     return schema.unresolved(schema.resolution_report(raw.header_layouts(spark, sf_dir)))
 
 
-@query
-def canonical_frame(spark, sf_dir):
-    sheet = raw.sheets(spark, sf_dir)
+def _frame(sheet):
     headers = sheets.detect_headers(sheet, ["pos"])
     rows = sheets.data_rows(sheet, headers, ["pos"], on_rejected="skip")
     return schema.canonical_rows(rows, headers, keep=["pos"])
 
 
+@query
+def canonical_frame(spark, sf_dir):
+    return _frame(raw.sheets(spark, sf_dir))
+
+
+@query
+def canonical_frame_uneven(spark, sf_dir):
+    """The same where one source holds half of all rows and every other row has a source of its own."""
+    return _frame(raw.uneven_sheets(spark, sf_dir))
+
+
 @query
 def rejected_sources(spark, sf_dir):
     return sheets.rejected_sources(sheets.detect_headers(raw.sheets(spark, sf_dir), ["pos"])).select("source", "markers")

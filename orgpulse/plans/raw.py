@@ -59,6 +59,22 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("source", F.col("pos").cast("long").alias("pos"), "cells").unionByName(body)
 
 
+def uneven_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet that holds every second customer, and a sheet for each of the others; a fifth of the small
+    ones has a header with too few markers."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    shared = key % 2 == 0
+    source = F.when(shared, "all").otherwise(F.concat(F.lit("file "), key.cast("string")))
+    good, broken = (F.array(*[F.lit(h) for h in headers]) for headers in (SHEET_HEADERS, BROKEN_HEADERS))
+    row = F.array(key.cast("string"), F.col("c_name"), F.lit("Отчет принят"), F.col("c_acctbal").cast("string"))
+    body = customer.select(source.alias("source"), (key + 10).cast("long").alias("pos"), row.alias("cells"))
+    tops = customer.select(
+        source.alias("source"), F.lit(0).cast("long").alias("pos"), F.when(key % 10 == 9, broken).otherwise(good).alias("cells")
+    )
+    return tops.dropDuplicates(["source"]).unionByName(body)
+
+
 def header_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file header per customer."""
     which = F.col("c_custkey") % len(LAYOUTS)

@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from orgpulse.config import REPORT_COLUMNS, ReportColumn
 from orgpulse.functions.ranking import lookup_by_value
-from orgpulse.sources.sheets import broadcast_if_few
+from orgpulse.sources.sheets import SHARED, join_source
 from orgpulse.staging import stage
 
-# A header with at least 1/SHARED of all header cells is looked up by broadcast; there can be at most SHARED.
-SHARED = 1_000
-
 
 def distinct_headers(headers: Column) -> Column:
     """Blank headers get a positional name, repeated ones a numeric suffix (".1", ".2", ...)."""
@@ -84,7 +81,7 @@ def resolve(headers: DataFrame, columns: Sequence[ReportColumn] = REPORT_COLUMNS
     Patterns are tried in order, first for equality (of equal headers the last one counts), then by
     search (the first one counts). Every distinct layout is taken apart once and every distinct header
     matched once, whatever their numbers; a layout takes for each column the least (pass, pattern, place)
-    of its headers. What many rows share is looked up by broadcast, its number is bounded by that share.
+    of its headers. Headers and layouts with at least 1/SHARED of all are looked up by broadcast.
     """
     rows = headers.select("source", "headers")
     # Written tables keep the matching behind the grouping: as one plan it would run before it, on every cell.
@@ -141,7 +138,7 @@ def canonical_rows(
     present = layout.agg(
         *[F.max(F.get("positions", F.lit(i))).alias(c.name) for i, c in enumerate(columns)]
     ).first()
-    joined = rows.join(broadcast_if_few(layout), "source")
+    joined = join_source(rows, layout)
     cells = [
         F.get("cells", F.get("positions", F.lit(i))).alias(c.name)
         for i, c in enumerate(columns)

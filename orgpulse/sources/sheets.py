@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orgpulse.config import HEADER_MARKERS
+from orgpulse.functions.ranking import lookup_by_value
+from orgpulse.staging import stage
 
 # Defaults of header detection: leading rows that are searched, and markers that make a header.
 SCAN_ROWS = 30
 MIN_MARKERS = 2
-# Up to this many files their header positions are broadcast (a few dozen bytes each).
-BROADCAST_SOURCES = 100_000
+# A source with at least 1/SHARED of all rows is looked up by broadcast; there can be at most SHARED.
+SHARED = 1_000
 
 
 _ESCAPES = {"t": "\t", "r": "\r", "b": "\b", "f": "\f", "u0000": "\0"}
@@ -118,11 +120,15 @@ def detect_headers(
     )
 
 
-def broadcast_if_few(per_source: DataFrame) -> DataFrame:
-    """Broadcast a one-row-per-source table only while the number of sources is small; otherwise the
-    join shuffles and adaptive execution splits a source that dominates."""
-    few = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return F.broadcast(per_source) if few else per_source
+def join_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Rows with the columns of their source, from a table of one row a source. Sources with a share of the
+    rows worth mentioning are broadcast, their number is bounded by that share; rows of the others are
+    shuffled by source. Neither the number of sources nor a source with half of all rows matters."""
+    counts = stage(rows.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows")), "source-rows")
+    total = counts.agg(F.sum("source_rows")).first()[0] or 0
+    table = stage(per_source.join(counts, "source"), "sources")
+    joined = lookup_by_value(rows, table, ["source"], F.col("source_rows") * SHARED >= total, split=True)
+    return joined.drop("source_rows")
 
 
 def rejected_sources(headers: DataFrame) -> DataFrame:
@@ -139,5 +145,5 @@ def data_rows(sheets: DataFrame, headers: DataFrame, order: Sequence[str], on_re
             raise ValueError(f"no header row found in {', '.join(bad)}")
     elif on_rejected != "skip":
         raise ValueError('on_rejected is "raise" or "skip"')
-    at = broadcast_if_few(headers.where("accepted").select("source", "header_at"))
-    return sheets.join(at, "source").where(F.struct(*order) > F.col("header_at")).drop("header_at")
+    joined = join_source(sheets, headers.where("accepted").select("source", "header_at"))
+    return joined.where(F.struct(*order) > F.col("header_at")).drop("header_at")

@@ -145,6 +145,20 @@ def test_sheets_to_report(spark, folder):
     assert scored["Вуз"]["staff_avg"] == 1000.5 and scored["Музей"]["risk_group"].startswith("E")
 
 
+def test_a_source_with_most_rows_among_many(spark):
+    # Sources in the shuffle and in the broadcast: one with two thirds of the rows, one row each for the others.
+    body = [("big", i + 1, [str(i)]) for i in range(6_000)] + [(f"s{i}", 1, ["x"]) for i in range(3_000)]
+    rows = spark.createDataFrame(body + [(None, 1, ["no source"])], "source string, pos long, cells array<string>")
+    names = ["big", *[f"s{i}" for i in range(0, 3_000, 2)], "without rows"]
+    per_source = spark.createDataFrame([(n, len(n)) for n in names], "source string, size int")
+    got = sheets.join_source(rows.repartition(6), per_source)
+    assert got.columns == ["source", "pos", "cells", "size"]
+    got = got.toPandas()
+    assert len(got) == 6_000 + 1_500 and (got["size"] == got["source"].str.len()).all()
+    assert sorted(got.loc[got["source"] == "big", "pos"]) == list(range(1, 6_001))
+    assert sheets.join_source(rows.limit(0), per_source).count() == 0
+
+
 def test_wide_sheet(spark, tmp_path):
     head = ";".join([f"колонка {i}" for i in range(298)] + ["Наименование организации", "Среднесписочная численность"])
     (tmp_path / "wide.csv").write_text(head + "\n" + ";".join(["x"] * 299 + ["7"]) + "\n", encoding="utf-8")
