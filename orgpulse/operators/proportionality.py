@@ -237,30 +237,54 @@ def split_extremes(
     return table.where(~over), extreme.orderBy(*order, *keys)
 
 
-def split_profile_outliers(
+# Value of each (axis, share); None where the axis holds no value.
+Limits = dict[tuple[str, float], float | None]
+LOW_SHARE, HIGH_SHARE = 0.005, 0.995
+
+
+def profile_limits(
     df: DataFrame,
-    low: float | Mapping[str, float] = 0.005,
-    high: float | Mapping[str, float] = 0.995,
+    low: float | Mapping[str, float] = LOW_SHARE,
+    high: float | Mapping[str, float] = HIGH_SHARE,
     bracket_rows: int = BRACKET_ROWS,
+) -> Limits:
+    """The two quantiles of every axis outside of which a row is trimmed."""
+    axes = [a for a in AXES if a in df.columns]
+    shares = {a: [_share_of(a, low, LOW_SHARE), _share_of(a, high, HIGH_SHARE)] for a in axes}
+    return quantiles(df, {a: (C.number_or_null(df, a), shares[a]) for a in axes}, bracket_rows)
+
+
+def split_by_limits(
+    df: DataFrame,
+    limits: Limits,
+    low: float | Mapping[str, float] = LOW_SHARE,
+    high: float | Mapping[str, float] = HIGH_SHARE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(kept, trimmed): rows with an axis outside its two quantiles, with the reason."""
+    """(kept, trimmed) by known limits, see :func:`profile_limits`."""
     axes = [a for a in AXES if a in df.columns]
-    number = {a: C.number_or_null(df, a) for a in axes}
-    lows = {a: _share_of(a, low, 0.005) for a in axes}
-    highs = {a: _share_of(a, high, 0.995) for a in axes}
-    limits = quantiles(df, {a: (number[a], [lows[a], highs[a]]) for a in axes}, bracket_rows)
     out, texts = F.lit(False), []
     for a in axes:
-        lo, hi = limits[(a, lows[a])], limits[(a, highs[a])]
+        number, p_low, p_high = C.number_or_null(df, a), _share_of(a, low, LOW_SHARE), _share_of(a, high, HIGH_SHARE)
+        lo, hi = limits[(a, p_low)], limits[(a, p_high)]
         if lo is None or hi is None:
             continue
-        below = F.coalesce(number[a] < F.lit(lo), F.lit(False))
-        above = F.coalesce(number[a] > F.lit(hi), F.lit(False))
+        below = F.coalesce(number < F.lit(lo), F.lit(False))
+        above = F.coalesce(number > F.lit(hi), F.lit(False))
         out = out | below | above
-        head = F.concat(F.lit(f"{AXIS_LABELS[a]}: "), _whole(number[a]))
+        head = F.concat(F.lit(f"{AXIS_LABELS[a]}: "), _whole(number))
         texts.append(
-            F.when(below, F.concat(head, F.lit(f" (ниже p{lows[a] * 100:.1f}%, порог {lo:,.0f})"))).when(
-                above, F.concat(head, F.lit(f" (выше p{highs[a] * 100:.1f}%, порог {hi:,.0f})"))
+            F.when(below, F.concat(head, F.lit(f" (ниже p{p_low * 100:.1f}%, порог {lo:,.0f})"))).when(
+                above, F.concat(head, F.lit(f" (выше p{p_high * 100:.1f}%, порог {hi:,.0f})"))
             )
         )
     return df.where(~out), df.where(out).withColumn("profile_trim_reason", join_texts(texts))
+
+
+def split_profile_outliers(
+    df: DataFrame,
+    low: float | Mapping[str, float] = LOW_SHARE,
+    high: float | Mapping[str, float] = HIGH_SHARE,
+    bracket_rows: int = BRACKET_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, trimmed): rows with an axis outside its two quantiles, with the reason."""
+    return split_by_limits(df, profile_limits(df, low, high, bracket_rows), low, high)

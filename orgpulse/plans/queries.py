@@ -18,11 +18,11 @@ from orgpulse.config import AXES, AXIS_RATIOS, BASIC_ELEMENTS
 from orgpulse.functions import cleaning as C
 from orgpulse.functions.labels import relabel
 from orgpulse.functions.ranking import average_rank_percentile
-from orgpulse.operators import cube, flags, neighbours, proportionality, scale_profile, scoring, selection, summaries
+from orgpulse.operators import cube, flags, models, neighbours, proportionality, scale_profile, scoring, selection, summaries
 from orgpulse.plans import raw
 from orgpulse.plans.fixture import CONFIG, enriched, inputs, report
 from orgpulse.sources import schema, sheets, sinks
-from orgpulse.staging import keep_until_release, staged_once, staging_root
+from orgpulse.staging import keep_until_release, modified, staged_once, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,9 +663,13 @@ def neighbor_tags(spark, sf_dir):
 # ---- scale profile ----------------------------------------------------------------------------
 
 
-def kept_and_axis(spark, sf_dir):
-    kept, _ = proportionality.split_profile_outliers(enriched(spark, sf_dir))
-    return kept, scale_profile.fit_scale_axis(kept, CONFIG)
+def kept_and_axis(spark, sf_dir, **selection):
+    """Rows within the trimming limits and the fitted axis, from the models kept until the session ends."""
+    folder = f"{staging_root(spark)}/orgpulse/models-{spark.sparkContext.applicationId}"
+    keep_until_release(spark, folder)
+    request = models.Request(selection, str((sf_dir, modified(spark, inputs(sf_dir)))))
+    kept, model = models.scale_model(enriched(spark, sf_dir), CONFIG, folder, request)
+    return kept, model.axis
 
 
 @query
@@ -724,7 +728,7 @@ def scale_peak(spark, sf_dir):
 
 @query
 def scale_centre(spark, sf_dir):
-    kept, _ = proportionality.split_profile_outliers(enriched(spark, sf_dir))
+    kept, _ = kept_and_axis(spark, sf_dir)
     return rounded(scale_profile.centre(kept), 4, "typical_cash", "typical_staff", "typical_fkhz")
 
 
