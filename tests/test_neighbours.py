@@ -100,7 +100,7 @@ def test_boxes_of_several_levels(spark):
     at = np.log1p(cloud("clusters")[list(AXES)].to_numpy())
     points = pd.DataFrame(at, columns=["x", "y", "z"]).assign(loc=np.arange(len(at)))
     boxed, levels = boxes.nested_boxes(spark.createDataFrame(points), 4, 6, cells=4)
-    tables = [t.toPandas().set_index("box") for t in levels]
+    tables = [t.toPandas().set_index("box").sort_index() for t in levels]
     boxed = boxed.toPandas()
     assert len(levels) >= 4 and tables[0].index.tolist() == [0] and tables[0]["n"].iloc[0] == len(at)
     assert sorted(boxed["loc"]) == list(range(len(at)))
