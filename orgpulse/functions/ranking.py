@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgpulse.functions.stats import SEPARATOR, long_values
+from orgpulse.staging import PARTITIONS
 
-# Distinct values one running-sum task may hold before the histogram is cut into ranges.
-RANGE_ROWS = 2_000_000
+# Rows or distinct values of a column that one task may rank before they are cut into ranges.
+RANGE_ROWS = 250_000
+# Rows of all ranges that one task ranks, about; a task of a join by value takes fewer, wide ones.
+RANKED_ROWS = 250_000
+LOOKED_UP_ROWS = 50_000
 MAX_RANGES = 1024
 # A value holding at least 1/HOT_SHARE of a column's rows is looked up by broadcast; there can be
 # at most HOT_SHARE such values per column, whatever the size of the data.
@@ -92,19 +96,23 @@ def value_percentiles(long: DataFrame, sizes: dict[str, int], range_rows: int =
     return hist.join(n, "name").select("name", "value", "c", "n", pct.alias("pct"))
 
 
-def lookup_by_value(rows: DataFrame, table: DataFrame, on: Sequence[str], hot: Column, split: bool) -> DataFrame:
+def lookup_by_value(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], hot: Column, split: bool, n: int = 0
+) -> DataFrame:
     """Inner-join rows to a table unique on `on`, keeping hot keys out of the shuffle.
 
     `hot` is a condition on the table that provably selects a bounded number of keys; those are
     broadcast and the rest are shuffled, so a key holding a third of the rows never meets one task.
+    `n`, the number of rows where known, deals them over as many tasks as they need.
     """
     if not split:
         return rows.join(table, list(on))
     hot_rows = F.broadcast(table.where(hot))
-    cold = rows.join(F.broadcast(table.where(hot).select(*on)), list(on), "left_anti").join(
-        table.where(~hot), list(on)
-    )
-    return rows.join(hot_rows, list(on)).unionByName(cold)
+    cold = rows.join(F.broadcast(table.where(hot).select(*on)), list(on), "left_anti")
+    tasks, spark = math.ceil(n / LOOKED_UP_ROWS), rows.sparkSession
+    if tasks > spark.sparkContext.defaultParallelism:
+        cold = cold.repartition(max(tasks, int(spark.conf.get(PARTITIONS))), *on)
+    return rows.join(hot_rows, list(on)).unionByName(cold.join(table.where(~hot), list(on)))
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -198,15 +206,18 @@ def _ranked(long: DataFrame, keys: Sequence[str], range_rows: int) -> DataFrame:
     reached: dict[str, int] = {}
     for name, number in sorted({k[:2] for k in counts}):
         before, n = reached.get(name, 0), sizes[name]
-        inner, equal = counts.get((name, number, False), 0), counts.get((name, number, True), 0)
-        values = (name, number, n, before, equal * NOTICEABLE >= n, (before + inner + (equal + 1) / 2) / n)
+        fewer, equal = counts.get((name, number, False), 0), counts.get((name, number, True), 0)
+        values = (name, number, n, before, equal * NOTICEABLE >= n, (before + fewer + (equal + 1) / 2) / n)
         for column, v in zip(offsets.values(), values, strict=True):
             column.append(v)
-        reached[name] = before + inner + equal
+        reached[name] = before + fewer + equal
     table = spark.createDataFrame(pa.table(offsets)).withColumn("range", F.col("range").cast("int"))
     placed = ranged.join(F.broadcast(table), ["name", "range"])
     apart = F.col("edge") & F.col("whole")
-    ranked = placed.where(~apart).withColumn("pct", (F.col("before") + rank) / F.col("n"))
+    # Dealt by number of rows: a session's fixed number, or partitions joined by bytes, hold ever more ranges.
+    tasks = math.ceil(sum(sizes.values()) / RANKED_ROWS)
+    inner = placed.where(~apart).repartition(tasks, "name", "range")
+    ranked = inner.withColumn("pct", (F.col("before") + rank) / F.col("n"))
     return ranked.select(*keys, "name", "pct").unionByName(
         placed.where(apart).select(*keys, "name", F.col("edge_pct").alias("pct"))
     )

@@ -341,7 +341,7 @@ def cloud_peers(
     ranks = value_percentiles(long, column_sizes(long), range_rows).drop("name")
     ranked = lookup_by_value(
         result, ranks.withColumnRenamed("value", "peer_3d_mean_distance"), ["peer_3d_mean_distance"],
-        F.col("c") * HOT_SHARE >= F.col("n"), split,
+        F.col("c") * HOT_SHARE >= F.col("n"), split, n,
     )
     factor = F.least(F.col("peer_3d_group_size") / F.lit(float(k)), F.lit(1.0))
     return ranked.withColumn("peer_3d_confidence", F.bround(factor * (1 - F.col("pct")), 2)).select(

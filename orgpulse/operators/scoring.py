@@ -202,12 +202,12 @@ def load_scores(
 
 
 def with_load_scores(
-    enriched: DataFrame, scores: DataFrame, cfg: ScoringConfig, keys: Sequence[str]
+    report: DataFrame, scores: DataFrame, cfg: ScoringConfig, keys: Sequence[str]
 ) -> DataFrame:
     """Attach the percentile scores. This is the one step that shuffles the report (by its key);
     nothing else depends on it, so leave it out where the scores are not part of the result."""
     names = [f"{d.key}_load_score" for d in cfg.directions]
-    return enriched.join(scores, list(keys), "left").fillna(0.0, names)
+    return report.join(scores, list(keys), "left").fillna(0.0, names)
 
 
 def _total(df_cols: Sequence[str]) -> Column:
@@ -317,11 +317,14 @@ def peer_table(df: DataFrame, cfg: ScoringConfig, by: Sequence[str] = ()) -> Dat
     )
 
 
-def with_peers(df: DataFrame, cfg: ScoringConfig, by: Sequence[str] = (), groups: int = 1) -> DataFrame:
+def with_peers(
+    df: DataFrame, cfg: ScoringConfig, by: Sequence[str] = (), groups: int = 1, table: DataFrame | None = None
+) -> DataFrame:
     """Compare each organisation with those of a similar load, falling back to coarser groups; only
-    with those of the same `by`, which has at most `groups` values."""
+    with those of the same `by`, which has at most `groups` values. `table` is the peer table where the
+    caller has it already."""
     levels = [f"{d.key}_load_level" for d in cfg.directions]
-    table = peer_table(df, cfg, by)
+    table = peer_table(df, cfg, by) if table is None else table
     # 5 levels per direction and the active count bound the table; hint only while that is small.
     if groups * (len(cfg.level_cuts) + 2) ** len(levels) * (len(levels) + 1) <= 1_000_000:
         table = F.broadcast(table)
@@ -378,15 +381,22 @@ def enrich(
     stats = stats or fit(df, cfg)
     if year is not None:
         df = df.withColumn(YEAR, F.lit(year))
-    prepared = prepare(df, cfg)
-    out = with_load_levels(prepared, cfg, stats.load_cuts)
-    out = with_recommended_form(with_coverage(out, cfg), cfg)
+
+    def leveled(rows: DataFrame) -> DataFrame:
+        out = with_load_levels(prepare(rows, cfg), cfg, stats.load_cuts)
+        return with_recommended_form(with_coverage(out, cfg), cfg)
+
     limits = flags.Limits.of(stats.staff_p75, stats.violation_ratio_p99)
-    out = with_verdicts(with_peers(out, cfg), cfg, limits)
-    if scores:
-        present = [m for m in cfg.metrics if m in df.columns]
-        out = with_load_scores(out, load_scores(prepared, cfg, keys, present), cfg, keys)
-    return out
+    out = leveled(df)
+    if not scores:
+        return with_verdicts(with_peers(out, cfg), cfg, limits)
+    # The scores meet the report before it grows wide: its own columns are shuffled, not those derived from them.
+    table = peer_table(out, cfg)
+    present = [m for m in cfg.metrics if m in df.columns]
+    names = [f"{d.key}_load_score" for d in cfg.directions]
+    out = leveled(with_load_scores(df, load_scores(prepare(df, cfg), cfg, keys, present), cfg, keys))
+    out = with_verdicts(with_peers(out, cfg, table=table), cfg, limits)
+    return out.select(*keys, *[c for c in out.columns if c not in (*keys, *names)], *names)
 
 
 def _year_table(df: DataFrame, stats: Mapping[int, ReportStats], metrics: Sequence[str]) -> DataFrame:
