@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm.common import bounded_batches, cache, free_name, per_text
+from orgpulse.llm.common import bounded_batches, cache, free_name, per_text, texts
 from orgpulse.staging import stage
 
 WINDOW = 13
@@ -152,10 +153,14 @@ def _automaton(name: str, held: bytes, window: int) -> SuffixAutomaton:
     return kept[name]
 
 
-def _matches(spark: SparkSession, items: DataFrame, window: int) -> tuple[Column, Broadcast]:
-    """A struct of a text's n_words, items and hit runs against the items of one block."""
+def _matches(spark: SparkSession, items: DataFrame, window: int, cut: int | None = None) -> tuple[Column, Broadcast]:
+    """A struct of a text's n_words, items and hit runs against the items of one block. With the limit `cut`,
+    what is left of a text without its hit words is a further field `rest`; it is null where no words are hit
+    or the hit words reach the limit."""
     shared = spark.sparkContext.broadcast(_held(items))
     name = uuid.uuid4().hex
+    columns = ["n_words", "items", "spans", "rest"]
+    kind = f"n_words long, items array<long>, spans {_SPANS}" + (", rest string" if cut is not None else "")
 
     def run(values: list[str]) -> pd.DataFrame:
         automaton = _automaton(name, shared.value, window)
@@ -164,21 +169,40 @@ def _matches(spark: SparkSession, items: DataFrame, window: int) -> tuple[Column
             words = words_of(text)
             hit = np.zeros(len(words), bool)
             numbers = automaton.match(words, hit)
-            out.append((len(words), sorted(x for x in numbers if x is not None), _runs(hit)))
-        return pd.DataFrame(out, columns=["n_words", "items", "spans"])
+            spans = _runs(hit)
+            rest = None if cut is None else _rest(text, spans, len(words), cut)
+            out.append((len(words), sorted(x for x in numbers if x is not None), spans, rest))
+        found = pd.DataFrame(out, columns=columns)
+        return found.drop(columns="rest") if cut is None else found.astype({"rest": object})
 
-    return per_text(run, f"n_words long, items array<long>, spans {_SPANS}"), shared
+    return per_text(run, kind), shared
 
 
 _SPANS = "array<struct<first: long, end: long>>"
 
 
+def _rest(text: str, spans: Sequence[dict[str, int]], n_words: int, coverage: int) -> str | None:
+    """`text` without the hit words in `spans` and the separators after them; null where none is hit or they
+    reach the limit."""
+    n_hit = sum(s["end"] - s["first"] for s in spans)
+    if not n_hit or n_hit * coverage >= n_words:
+        return None
+    raw = text.encode()
+    is_word = np.concatenate([[False], np.frombuffer(raw.translate(_WORD), np.uint8) != 32])
+    starts = np.flatnonzero(is_word[1:] & ~is_word[:-1]).tolist() + [len(raw)]
+    kept, at = [], 0
+    for s in spans:
+        kept.append(raw[at : starts[s["first"]]])
+        at = starts[s["end"]]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
     return [{"first": int(a), "end": int(b)} for a, b in edges]
 
 
-def _verdict(found: Column, coverage: int) -> Column:
+def _verdict(found: Column, coverage: int, cut: bool) -> Column:
     n_hit = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return F.struct(
         found["n_words"].alias("n_words"),
@@ -186,6 +210,7 @@ def _verdict(found: Column, coverage: int) -> Column:
         found["items"].alias("items"),
         ((n_hit > 0) & (n_hit * coverage >= found["n_words"])).alias("contaminated"),
         found["spans"].alias("spans"),
+        *([found["rest"].alias("rest")] if cut else []),
     )
 
 
@@ -212,13 +237,20 @@ def contamination(
     Null texts and texts without words have no hits. Items without words are no windows, items with
     equal texts are each reported. An empty benchmark hits nothing. Items with a null id are matched
     (their words are hit) but not listed. A clash with a column `found` is avoided by underscores."""
+    return _marked(docs, benchmark, window, coverage, block_bytes, False)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, coverage: int, block_bytes: int, cut: bool) -> DataFrame:
+    """`contamination`; with `cut` the struct has what is left of texts hit below the limit as `rest`. A row
+    goes to Python once for both: every further call in a stage is one more worker beside each task, and
+    executors keep their workers."""
     spark = docs.sparkSession
     bounded_batches(spark)
     name = free_name(docs, "found")
     items, blocks = _blocks_of(benchmark, block_bytes)
     if blocks == 1:
-        found, _ = _matches(spark, items, window)
-        return docs.withColumn(name, found).withColumn(name, _verdict(F.col(name), coverage))
+        found, _ = _matches(spark, items, window, coverage if cut else None)
+        return docs.withColumn(name, found).withColumn(name, _verdict(F.col(name), coverage, cut))
     # One pass over the documents for each block; only one block is broadcast at a time.
     items = stage(items.sort("block"), "items")
     row = free_name(docs, "row")
@@ -238,43 +270,41 @@ def contamination(
             F.struct(F.array_sort(F.array_distinct("_items")).alias("items"), _joined_runs(F.col("_spans")).alias("spans")).alias("_m"),
         )
     )
-    merged = rows.withColumn(name, _word_count()).join(per_row, F.col(row) == F.col("_at"), "left")
+    merged = rows.join(per_row, F.col(row) == F.col("_at"), "left")
     none = F.array()
+    spans = F.coalesce(F.col("_m")["spans"], none.cast(_SPANS))
+    merged = merged.withColumn("_spans", spans).withColumn(name, _counted(coverage if cut else None))
     full = F.struct(
-        F.col(name).alias("n_words"),
+        F.col(name)["n_words"].alias("n_words"),
         F.coalesce(F.col("_m")["items"], none.cast("array<long>")).alias("items"),
-        F.coalesce(F.col("_m")["spans"], none.cast(_SPANS)).alias("spans"),
+        F.col("_spans").alias("spans"),
+        F.col(name)["rest"].alias("rest"),
     )
-    return merged.withColumn(name, full).withColumn(name, _verdict(F.col(name), coverage)).select(*docs.columns, name)
+    return merged.withColumn(name, full).withColumn(name, _verdict(F.col(name), coverage, cut)).select(*docs.columns, name)
+
+
+def _counted(cut: int | None) -> Column:
+    """The words of a text, and its `rest` as `_matches` gives it."""
 
+    def run(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        cache(__name__)
+        out = []
+        for t, s in zip(texts(text), spans, strict=True):
+            n_words = len(words_of(t))
+            out.append((n_words, None if cut is None else _rest(t, s, n_words, cut)))
+        return pd.DataFrame(out, columns=["n_words", "rest"]).astype({"n_words": "int64", "rest": object})
 
-def _word_count() -> Column:
-    return per_text(lambda values: pd.Series([len(words_of(t)) for t in values], dtype="int64"), "long")
+    run.__annotations__ = {"text": pd.Series, "spans": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "n_words long, rest string").asNondeterministic()("text", "_spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """`docs` without contaminated documents; in the others, hit words below the limit are removed with
     the separators after them. All columns stay; documents without hits stay as they are."""
-    marked = contamination(docs, benchmark, **options)
+    marked = _marked(docs, benchmark, window, coverage, block_bytes, True)
     found = marked.columns[-1]
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            if t is not None and s is not None and len(s):
-                raw = t.encode()
-                shape = raw.translate(_WORD)
-                is_word = np.concatenate([[False], np.frombuffer(shape, np.uint8) != 32])
-                starts = np.flatnonzero(is_word[1:] & ~is_word[:-1]).tolist() + [len(raw)]
-                kept, at = [], 0
-                for x in s:
-                    kept.append(raw[at : starts[x["first"]]])
-                    at = starts[x["end"]]
-                t = b"".join([*kept, raw[at:]]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
     rest = marked.where(f"not {found}.contaminated")
-    text = F.when(F.col(f"{found}.n_hit") > 0, cut("text", f"{found}.spans")).otherwise(F.col("text"))
+    text = F.when(F.col(f"{found}.n_hit") > 0, F.col(f"{found}.rest")).otherwise(F.col("text"))
     return rest.withColumn("text", text).drop(found)

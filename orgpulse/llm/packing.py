@@ -17,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,8 +169,10 @@ def pack(
     salted = cut.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
     by_salt = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "salts")
     found = [(*r, k) for k, r in enumerate(plan(counts, capacity))]
-    schema = "length long, from_rank long, to_rank long, sequence long, each long, at long, range long"
-    ranges = spark.createDataFrame(found, schema)
+    names = ("length", "from_rank", "to_rank", "sequence", "each", "at", "range")
+    # As an Arrow table: a list of rows would go through Python workers of a second kind on every executor.
+    columns = zip(*found, strict=True) if found else [()] * len(names)
+    ranges = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

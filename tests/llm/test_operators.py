@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orgpulse.llm import decontam, hostrules, htmlmain, langid, neardup, packing, pii, quality, tokens, toxicity
+from orgpulse.llm import common, decontam, hostrules, htmlmain, langid, neardup, packing, pii, quality, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, found string, tokens string"
 WORDS = "the of and river stone light house green walk seven north".split()
@@ -139,6 +140,53 @@ def test_decontamination(docs, empty, spark):
     assert decontam.contamination(empty, bench).count() == 0
 
 
+def python_calls(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("EvalPython ")
+
+
+def test_decontamination_cuts_in_the_pass_that_matches(docs, spark):
+    """A second call would keep a second worker beside every task of the pipeline's executors."""
+    bench = spark.createDataFrame([(1, "of AND; river"), (2, "light house green")], "item_id long, text string")
+    clean = decontam.decontaminate(docs, bench, window=4, coverage=2)
+    assert python_calls(clean) == 1
+    item, word = [(b"of", b"and", b"river"), (b"light", b"house", b"green")], r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def brute(text):
+        found = list(re.finditer(word, (text or "").lower()))
+        words = [m.group().encode() for m in found]
+        hit = {i + k for i in range(len(words)) if tuple(words[i : i + 3]) in item for k in range(3)}
+        if hit and 2 * len(hit) >= len(words):
+            return []
+        ends = [m.start() for m in found[1:]] + [len(text or "")]
+        head = (text or "")[: found[0].start()] if found else text
+        return [head + "".join(text[m.start() : e] for i, (m, e) in enumerate(zip(found, ends)) if i not in hit) if found else text]
+
+    want = Counter((r[0], t) for r in rows() for t in brute(r[1]))
+    assert sum(len(t or "") for _, t in want) < sum(len(r[1] or "") for r in rows())
+    for size in (2 << 20, 20):  # one automaton, and several
+        clean = decontam.decontaminate(docs, bench, window=4, coverage=2, block_bytes=size)
+        assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == want
+
+
+def test_the_plan_of_packing_takes_no_python_workers(docs):
+    path = public_tokenizers.path
+    packed = packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=64)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashing_takes_little_beside_its_result(monkeypatch):
+    texts = [" ".join(random.Random(i).choices(WORDS, k=5000)).encode() for i in range(150)]
+    common.shingle_sets(texts[:1], 5)  # tables that stay
+    tracemalloc.start()
+    found = common.shingle_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3 << 20
+    assert peak - sum(x.nbytes for x in found) < 16 << 20
+    monkeypatch.setattr(common, "_PIECE", 1 << 10)
+    assert all((a == b).all() for a, b in zip(found[:20], common.shingle_sets(texts[:20], 5), strict=True))
+
+
 def test_packing_round_trip(docs, empty):
     path = public_tokenizers.path
     reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
